@@ -55,12 +55,12 @@ _CUT = re.compile(r"(?<=[.!?;])[\s\"'”’»)]+|(?<=[.!?。！？；])(?=[\u4e0
 _CODE = re.compile(r"(?<![a-z0-9])(?:[a-z]{2}\d{4,}|ev-\d+)(?![a-z0-9])")
 _CHAT = re.compile(r"^\[\d\d:\d\d\] *\w+: *|^[>#\-*\s]+")
 _INSTANT = re.compile(r"\b\d{4}-\d\d-\d\d[t ][\d:.]+z?")
-_NUMBER = re.compile(r"(?<![a-z])\d[\d.,:/\-]*(?![a-z])")
+_NUMBER = re.compile(r"(?<![a-z\d])\d[\d.,:/\-]*+(?![a-z])")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[a-z0-9@$*][ .\-_·]){3,}[a-z0-9@$*]+(?![^\W\d_])|(?<![^\W\d_])(?:[a-z*][.\-_·]){2,}[a-z*]+(?![^\W\d_])")
 _CJK_GAP = re.compile(r"(?<=[\u4e00-\u9fff])[\s*._·\-]+(?=[\u4e00-\u9fff])")
 _RUN = re.compile(r"([a-z])\1{2,}")
 _WORD = re.compile(r"[^\W_]+(?:\*+[^\W_]+)*|[\u4e00-\u9fff]")
-_LEET_WORD = re.compile(r"[a-z0-9@$!|]*[a-z][a-z0-9@$!|]*")
+_LEET_WORD = re.compile(r"[a-z0-9@$](?:[a-z0-9@$]|[!|](?=[a-z0-9]))*")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _ALIKE = str.maketrans("аеорсхуіѕјԁɡһκνο", "aeopcxyisjdghkvo")
 
@@ -68,7 +68,7 @@ _ALIKE = str.maketrans("аеорсхуіѕјԁɡһκνο", "aeopcxyisjdghkvo")
 def _unleet(match: re.Match) -> str:
     word = match.group()
     letters = sum(c.isalpha() for c in word)
-    if letters == len(word) or len(word) < 3 or letters < 2 and len(word) < 4:
+    if letters in (0, len(word)) or len(word) < 3 or letters < 2 and len(word) < 4:
         return word
     return word.translate(_LEET)
 

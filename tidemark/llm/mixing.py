@@ -43,7 +43,7 @@ def apportion(weights: np.ndarray, seats: int, most: np.ndarray | None = None) -
             low = middle
         else:
             high = middle
-    given = at(low)
+    given = at(low * (1 - 1e-11))  # below any tie, which the loop then settles
     while given.sum() < seats:
         quotients = np.where(given < most, weights / (2 * given + 1), -1)
         given[int(np.argmax(quotients))] += 1
