@@ -25,11 +25,15 @@ from pyspark.sql import types as T
 MAX_REVIEWED = 8_000
 DICTIONARY_BYTES = 1 << 19
 LEVEL = 12
+#: A window joins a dictionary if what came before compresses it to no less than this share.
+NOVEL = 0.3
 FOLDS = 3
 #: Words (characters of Chinese) of a window; longer sentences are cut into windows that overlap by half.
 SPAN = 16
 #: Log odds from which a window of a reviewed document counts as abusive: one of these, whichever predicts unseen labels better.
-EVIDENCE = (1.35, 1.7)
+EVIDENCE = (1.5, 2.5)
+#: Share of reviews that are taken to be wrong.
+NOISE = 0.1
 
 # Phrases in the four languages that stand for either class where few documents were reviewed.
 ABUSIVE_SEED = """you are an idiot; you stupid moron; shut up you bastard; what an asshole you are; you worthless piece of shit;
@@ -59,7 +63,9 @@ _NUMBER = re.compile(r"(?<![a-z\d])\d[\d.,:/\-]*+(?![a-z])")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[a-z0-9@$*][ .\-_·]){3,}[a-z0-9@$*]+(?![^\W\d_])|(?<![^\W\d_])(?:[a-z*][.\-_·]){2,}[a-z*]+(?![^\W\d_])")
 _CJK_GAP = re.compile(r"(?<=[\u4e00-\u9fff])[\s*._·\-]+(?=[\u4e00-\u9fff])")
 _RUN = re.compile(r"([a-z])\1{2,}")
-_WORD = re.compile(r"[^\W_]+(?:\*+[^\W_]+)*|[\u4e00-\u9fff]")
+_HAN = "\u4e00-\u9fff"
+#: A word, or a character of Chinese.
+_UNIT = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+(?:\*+[^\W_{_HAN}]+)*")
 _LEET_WORD = re.compile(r"[a-z0-9@$](?:[a-z0-9@$]|[!|](?=[a-z0-9]))*")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _ALIKE = str.maketrans("аеорсхуіѕјԁɡһκνο", "aeopcxyisjdghkvo")
@@ -88,15 +94,15 @@ def plain_windows(text: str | None) -> list[str]:
         window = _NUMBER.sub("0", window)
         window = _LEET_WORD.sub(_unleet, window)
         window = _RUN.sub(r"\1", window)
-        words = _WORD.findall(window)
+        words = _UNIT.findall(window)
         out += [_CJK_GAP.sub("", " ".join(words[i : i + SPAN])) for i in range(0, max(1, len(words) - SPAN // 2), SPAN // 2)] if words else []
     return out
 
 
-def _pieces(window: str) -> set[str]:
-    """Three words in a row, or three characters of Chinese; shorter windows are one piece."""
-    words = _WORD.findall(window) if not re.search("[\u4e00-\u9fff]", window) else list(window.replace(" ", ""))
-    return {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+def _pieces(window: str) -> list[str]:
+    """Three units in a row; shorter windows are one piece."""
+    units = _UNIT.findall(window)
+    return [" ".join(units[i : i + 3]) for i in range(max(1, len(units) - 2))]
 
 
 @dataclass
@@ -150,17 +156,15 @@ def _as_dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _novel(windows: list[str]) -> list[str]:
-    """Of windows by falling weight, those that the ones before them don't already spell."""
+def _novel(windows: list[str], step: int = 100) -> list[str]:
+    """Of windows by falling weight, those that the ones before them (but for their own step's) don't already spell."""
     held: list[str] = []
-    for i in range(0, len(windows), 200):
+    for i in range(0, len(windows), step):
         own = zstandard.ZstdCompressor(level=3, dict_data=_as_dictionary("\n".join(held).encode()[-DICTIONARY_BYTES:] or b"-" * 8), write_content_size=False, write_dict_id=False)
-        fresh: set[str] = set()
-        for w in windows[i : i + 200]:
-            data, pieces = w.encode(), _pieces(w)
-            if len(own.compress(data)) > 0.25 * len(data) + 6 and not pieces <= fresh:
+        for w in windows[i : i + step]:
+            data = w.encode()
+            if len(own.compress(data)) > NOVEL * len(data) + 9:
                 held.append(w)
-                fresh |= pieces
     return held
 
 
@@ -180,33 +184,52 @@ def _seed(text: str) -> list[str]:
 class _Evidence:
     """Log odds of an abusive label for documents that hold a window's pieces: tells which windows of a document its label is about."""
 
-    def __init__(self, documents: list[tuple[list[str], bool]]):
+    def __init__(self, documents: list[tuple[list[str], bool]], memo: dict[str, list[str]]):
+        self.memo = memo
         self.yes: Counter = Counter()
         self.no: Counter = Counter()
         for windows, abusive in documents:
-            (self.yes if abusive else self.no).update(set().union(*map(_pieces, windows)) if windows else ())
+            (self.yes if abusive else self.no).update(set().union(*map(self.pieces, windows)))
         self.share = min(0.5, max(0.05, sum(y for _, y in documents) / max(1, len(documents))))
         for seed, to in ((ABUSIVE_SEED, self.yes), (ORDINARY_SEED, self.no)):
             for window in _seed(seed):
-                to.update(2 * list(_pieces(window)))
-
-    def __call__(self, window: str) -> float:
-        prior = math.log(self.share / (1 - self.share))
-        odds = sorted((math.log((self.yes[p] + 2 * self.share) / (self.no[p] + 2 * (1 - self.share))) - prior for p in _pieces(window)), reverse=True)[:3]
-        return sum(odds) / max(1, len(odds))
-
-
-def _fit(documents: list[tuple[list[str], bool]], least: float) -> CompressionModel:
-    evidence = _Evidence(documents)
+                to.update(2 * _pieces(window))
+
+    def pieces(self, window: str) -> list[str]:
+        if window not in self.memo:
+            self.memo[window] = _pieces(window)
+        return self.memo[window]
+
+    def odds(self, window: str) -> list[float]:
+        """Of each piece. One that makes documents abusive has abusive labels but for NOISE; else as many as all documents."""
+        yes, no = math.log((1 - NOISE) / self.share), math.log(NOISE / (1 - self.share))
+        return [self.yes[p] * yes + self.no[p] * no for p in self.pieces(window)]
+
+    def split(self, window: str, least: float) -> tuple[str, str]:
+        """The abusive and the ordinary part of a window; there is an abusive one if its three strongest pieces reach ``least`` on average."""
+        odds = self.odds(window)
+        top = sorted(set(zip(odds, self.pieces(window))), reverse=True)[:3]
+        if sum(x for x, _ in top) <= least * len(top):
+            return "", window
+        units = _UNIT.findall(window)
+        marked = [any(x > 0 for x in odds[max(0, i - 2) : i + 1]) for i in range(len(units))]
+        part = lambda y: _CJK_GAP.sub("", " ".join(u for u, m in zip(units, marked) if m == y))
+        return part(True), part(False)
+
+
+def _fit(documents: list[tuple[list[str], bool]], least: float, memo: dict[str, list[str]]) -> CompressionModel:
+    evidence = _Evidence(documents, memo)
     abusive, ordinary = Counter(), Counter()
     for windows, label in documents:
         for w in set(windows):
-            (abusive if evidence(w) > least else ordinary)[w] += 1
+            for part, to in zip(evidence.split(w, least), (abusive, ordinary)):
+                if part:
+                    to[part] += 1
     for seed, to in ((ABUSIVE_SEED, abusive), (ORDINARY_SEED, ordinary)):
         to.update(_seed(seed))
     words: dict[int, Counter] = {}
     for w in abusive:
-        for word in _WORD.findall(w):
+        for word in _UNIT.findall(w):
             if word.isalpha() and "*" not in word:
                 words.setdefault(len(word), Counter())[word] += abusive[w]
     rare = {n: [w for w, _ in c.most_common()] for n, c in words.items()}
@@ -216,16 +239,16 @@ def _fit(documents: list[tuple[list[str], bool]], least: float) -> CompressionMo
 def fit(reviewed: list[tuple[int, str, float]]) -> CompressionModel:
     """reviewed: doc_id, text, mean label. Evidence and threshold are those of the best F1 on documents that the dictionaries had not seen."""
     documents = [(plain_windows(t), y > 0.5) for _, t, y in reviewed if y != 0.5]
-    options = []
+    options, memo = [], {}
     if sum(y for _, y in documents) >= FOLDS:
         for least in EVIDENCE:
             scored = []
             for f in range(FOLDS):
-                model = _fit([x for i, x in enumerate(documents) if i % FOLDS != f], least)
+                model = _fit([x for i, x in enumerate(documents) if i % FOLDS != f], least, memo)
                 scored += [(max(map(model.distance, w), default=-1.0), y) for w, y in documents[f::FOLDS]]
             options.append((*best_threshold(scored), least))
     f1, threshold, least = max(options, default=(0.0, 0.1, EVIDENCE[-1]))
-    model = _fit(documents, least)
+    model = _fit(documents, least, memo)
     model.threshold = threshold
     return model
 
