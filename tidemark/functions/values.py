@@ -34,8 +34,10 @@ def fixed_from_text(text: Column, scale: int, rounding: str | None = None) -> Co
 
 def fixed_value(fixed: Column) -> Column:
     """DECIMAL(37,18), exact: any long at scale 0 to 18 fits."""
-    powers = F.array(*[F.lit(f"1e-{i}").cast("decimal(19,18)") for i in range(19)])
-    return (fixed["units"].cast("decimal(19,0)") * F.get(powers, fixed["scale"].cast("int"))).cast("decimal(37,18)")
+    units = fixed["units"].cast("decimal(19,0)")
+    powers = F.array(*[F.lit(f"1e-{i}").cast("decimal(18,18)") for i in range(1, 19)])
+    scaled = (units * F.get(powers, fixed["scale"].cast("int") - 1)).cast("decimal(37,18)")
+    return F.when(fixed["scale"] == 0, units.cast("decimal(37,18)")).otherwise(scaled)
 
 
 def fixed_product(a: Column, b: Column) -> Column:

@@ -11,7 +11,6 @@ from tidemark.functions.values import fixed_from_text, signed_crc32
 FACTOR = 1_000_000
 _PAIRS = "array<array<string>>"
 # Fields of the messages.
-DIFF_DEPTH = f"e string, E bigint, T bigint, s string, t bigint, p string, q string, m boolean, u bigint, U bigint, pu bigint, b string, B string, a string, A string, r string, lastUpdateId bigint, received_at bigint, bids {_PAIRS}, asks {_PAIRS}"
 CHANNEL = f"arg struct<channel: string, instId: string>, action string, data array<struct<instId: string, ts: string, tradeId: string, px: string, sz: string, side: string, seqId: bigint, prevSeqId: bigint, checksum: bigint, bids: {_PAIRS}, asks: {_PAIRS}, bidPx: string, bidSz: string, askPx: string, askSz: string, markPx: string, fundingRate: string, fundingTime: string, nextFundingTime: string>>"
 
 
@@ -29,20 +28,22 @@ def diff_depth_events(messages: DataFrame, *, price_scale: int, quantity_scale:
     A trade whose buyer is the maker was a sale. Levels of an update are numbered within it; quantity zero deletes. The
     arrays of depthUpdate are the fields b and a, of snapshots bids and asks. Unknown kinds give nothing.
     """
-    depth = DIFF_DEPTH.replace("b string, B string, a string, A string,", f"b {_PAIRS}, a {_PAIRS},")
-    kind = F.get_json_object(text, "$.e")
-    m = messages.withColumn("_k", kind)
-    flat = m.select(F.from_json(text, DIFF_DEPTH).alias("x")).select("x.*").withColumn("event_time", F.coalesce(_millis("T"), _millis("E"))).withColumn("received_at", F.coalesce(F.timestamp_millis("received_at"), _millis("E")))
-    head = [F.col("s").alias("symbol"), "event_time", "received_at", F.col("received_at").alias("available_at")]
-    fixed = lambda c, q=False: fixed_from_text(F.col(c), quantity_scale if q else price_scale)
-    event = lambda kind, sequence, *fields: flat.where(F.col("e") == kind).select(*head, sequence.alias("sequence"), *fields)
-    trade = event("trade", F.col("t"), F.lit("trade").alias("event_type"), fixed("p").alias("price"), fixed("q", True).alias("quantity"), F.when(F.col("m"), "sell").otherwise("buy").alias("aggressor_side"))
-    quote = event("bookTicker", F.col("u"), F.lit("quote").alias("event_type"), fixed("b").alias("bid_price"), fixed("B", True).alias("bid_quantity"), fixed("a").alias("ask_price"), fixed("A", True).alias("ask_quantity"))
-    snap = event("depthSnapshot", F.col("lastUpdateId") * FACTOR, F.lit("book_snapshot").alias("event_type"), _levels(F.col("bids"), price_scale, quantity_scale).alias("bids"), _levels(F.col("asks"), price_scale, quantity_scale).alias("asks"))
-    mark = event("markPriceUpdate", F.col("E"), F.lit("mark_price").alias("event_type"), fixed("p").alias("price"))
-    funding = event("fundingRate", F.col("E"), F.lit("funding_rate").alias("event_type"), F.col("r").try_cast("double").alias("rate"))
-    updates = m.where("_k = 'depthUpdate'").select(F.from_json(text, depth).alias("x")).select("x.*").withColumn("event_time", F.coalesce(_millis("T"), _millis("E"))).withColumn("received_at", F.coalesce(F.timestamp_millis("received_at"), _millis("E")))
-    deltas = numbered_levels(updates.select(*head, F.col("u").alias("update"), F.col("b").alias("bids"), F.col("a").alias("asks")), price_scale, quantity_scale)
+    x = F.from_json(text, "map<string, string>")  # names differ by case only
+    m = messages.select(x.alias("x"))
+    get = lambda k: F.col("x")[k]
+    long = lambda k: get(k).try_cast("bigint")
+    received = F.timestamp_millis(F.coalesce(long("received_at"), long("E")))
+    head = [get("s").alias("symbol"), F.timestamp_millis(F.coalesce(long("T"), long("E"))).alias("event_time"), received.alias("received_at"), received.alias("available_at")]
+    fixed = lambda k, q=False: fixed_from_text(get(k), quantity_scale if q else price_scale)
+    levels = lambda k: _levels(F.from_json(get(k), _PAIRS), price_scale, quantity_scale)
+    event = lambda kind, name, sequence, *fields: m.where(get("e") == kind).select(*head, sequence.alias("sequence"), F.lit(name).alias("event_type"), *fields)
+    trade = event("trade", "trade", long("t"), fixed("p").alias("price"), fixed("q", True).alias("quantity"), F.when(get("m") == "true", "sell").when(get("m") == "false", "buy").alias("aggressor_side"))
+    quote = event("bookTicker", "quote", long("u"), fixed("b").alias("bid_price"), fixed("B", True).alias("bid_quantity"), fixed("a").alias("ask_price"), fixed("A", True).alias("ask_quantity"))
+    snap = event("depthSnapshot", "book_snapshot", long("lastUpdateId") * FACTOR, levels("bids").alias("bids"), levels("asks").alias("asks"))
+    mark = event("markPriceUpdate", "mark_price", long("E"), fixed("p").alias("price"))
+    funding = event("fundingRate", "funding_rate", long("E"), get("r").try_cast("double").alias("rate"))
+    updates = m.where(get("e") == "depthUpdate").select(*head, long("u").alias("update"), F.from_json(get("b"), _PAIRS).alias("bids"), F.from_json(get("a"), _PAIRS).alias("asks"))
+    deltas = numbered_levels(updates, price_scale, quantity_scale)
     out = trade
     for part in (quote, snap, mark, funding, deltas):
         out = out.unionByName(part, allowMissingColumns=True)
