@@ -215,6 +215,10 @@ def test_quality(spark):
     assert rows(members.select(F.dayofmonth("date"), "symbol")) == Counter([(2, "a"), (2, "c"), (3, "a"), (3, "b"), (4, "a"), (4, "b")])
     gap = quality.sequence_breaks(spark.createDataFrame([("s", 1, 0, 1), ("s", 2, 1, 2), ("s", 4, 3, 3)], "k string, sequence long, previous_sequence long, o long"), ["k"], "o")
     assert [r.sequence for r in gap.collect()] == [4]
+    rnd = random.Random(9)
+    data = [(rnd.choice(["hot"] * 5 + ["b", None]), s := rnd.randint(0, 400), s - rnd.choice([1, 1, 2]), s * 3 + rnd.randint(0, 2)) for _ in range(300)]
+    e = spark.createDataFrame(data, "k string, sequence long, previous_sequence long, o long").dropDuplicates(["k", "o"])
+    assert rows(quality.sequence_breaks(e, ["k"], "o", 50)) == rows(quality.sequence_breaks(e, ["k"], "o"))
 
 
 def test_intervals_and_next_start(spark):

@@ -108,7 +108,7 @@ def as_known(events: DataFrame, catalog: DataFrame, rates: DataFrame, *, quote:
     """(delivery_id, catalog_row_id, fx_event_id) of each event with an instrument_id and a catalog row.
 
     The symbol is the third part of instrument_id. fx_event_id is the empty string where no rate may be used or the
-    currency is ``quote`` or null. Events without instrument_id or event_time have no row; equal events have one.
+    currency is ``quote`` or null. Events without instrument_id or event_time have no row; repeated rows have one each.
     """
     points = events.select("delivery_id", F.get(F.split("instrument_id", ":"), 2).alias("symbol"), F.unix_micros("event_time").alias("_at")).where("symbol is not null and _at is not null")
     rows = disjoint(catalog_validity(catalog), "symbol", ["effective_from"], broadcast_rows=broadcast_rows).drop("effective_from")

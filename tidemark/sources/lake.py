@@ -22,6 +22,8 @@ from tidemark.sources.schemas import conform, rules
 from tidemark.sources.shared import drop_folder, file_system, written
 
 STREAM = ["source", "instrument_id", "session_id"]
+#: Sequences of a stream that one task checks.
+SLICE = 1 << 20
 PARTITION = ["provider", "venue", "event_type", "date", "instrument"]
 
 
@@ -145,7 +147,7 @@ def check_events(events: DataFrame, kind: str, *, arrival: str | None = None) ->
     order = arrival or "sequence"
     broken = violations(own, rules(kind), [*STREAM, "event_id"]).select(*STREAM, F.concat(F.lit("rule:"), "rule").alias("reason"))
     twice = every_copy_of_duplicates(own, ["event_id"]).select(*STREAM, F.lit("repeated_event_id").alias("reason"))
-    gaps = sequence_breaks(events if arrival else own, STREAM, order).select(*STREAM, F.lit("sequence").alias("reason"))
+    gaps = sequence_breaks(events if arrival else own, STREAM, order, SLICE).select(*STREAM, F.lit("sequence").alias("reason"))
     reasons = written(broken.unionByName(twice).unionByName(gaps).groupBy(*STREAM).agg(F.array_sort(F.collect_set("reason")).alias("reasons")), "reasons")  # a few rule names a stream
     same = [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in STREAM]
     e, r = own.alias("e"), reasons.alias("r")
