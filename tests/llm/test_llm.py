@@ -22,7 +22,7 @@ def test_ids_equal_direct_encoding_and_come_back(spark, docs):
 
     t = Tokenizer.from_str(tokenizer.vocabulary())
     t.encode_special_tokens = True
-    encoded = tokenizer.encode(docs.select("doc_id", "text"))
+    encoded = tokenizer.encode(docs)  # its own column ids gives way
     for r in encoded.where("doc_id is not null").collect():
         assert r.ids == t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
     assert {r.doc_id: r.text for r in tokenizer.decode(encoded).collect() if r.doc_id is not None} == {i: x or "" for i, x in enumerate(TEXTS)}
@@ -97,7 +97,7 @@ def test_unseen_documents_are_told_apart(spark):
     held_out = [(make(i % 5 == 0), i % 5 == 0) for i in range(300)]
     right = sum((model.score(t) > model.threshold) == y for t, y in held_out)
     assert right >= 0.9 * len(held_out)
-    docs = spark.createDataFrame([(1, held_out[0][0], "x"), (2, held_out[1][0], "x"), (3, None, None), (4, "", "y"), (None, "  ", "z")], "doc_id long, text string, score string").select("doc_id", "text")
+    docs = spark.createDataFrame([(1, held_out[0][0], "x"), (2, held_out[1][0], "x"), (3, None, None), (4, "", "y"), (None, "  ", "z")], "doc_id long, text string, score string")
     assert [(r.doc_id, r.abusive) for r in abuse.score_documents(docs, model).orderBy("doc_id").collect()] == [(None, False), (1, True), (2, False), (3, False), (4, False)]
 
 

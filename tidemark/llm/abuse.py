@@ -273,15 +273,16 @@ def reviewed_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_REVIE
 
 
 def score_documents(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataFrame:
-    """docs without its text column, with score (double) and abusive (boolean).
+    """docs without its text column, with score (double) and abusive (boolean), in place of columns of these names.
 
     Every window of every text is scored. Null, empty and blank texts have the score -1.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES at most
-    keep = [f for f in docs.schema if f.name != text]
+    parts = (model.abusive, model.ordinary, model.words, model.threshold)  # two dictionaries of DICTIONARY_BYTES at most
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    keep = [f for f in docs.schema if f.name not in (text, "score", "abusive")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model, known = CompressionModel(*shared.value), {}
         for batch in batches:
             scores = []
             for t in batch.column(0).to_pylist():

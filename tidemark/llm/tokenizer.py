@@ -89,10 +89,10 @@ def _lists(lengths: list[int], values: np.ndarray) -> pa.Array:
 
 
 def _over_text(df: DataFrame, text: str, vocab: str, each: Callable, fields: list[tuple[str, T.DataType]]) -> DataFrame:
-    """df's other columns and what ``each(tokenizer, texts)`` gives for each slice of texts."""
+    """df's other columns (but for those of a made name) and what ``each(tokenizer, texts)`` gives for each slice of texts."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocab)  # the vocabulary file, a few MB whatever the corpus
-    keep = [f for f in df.schema if f.name != text]
+    keep = [f for f in df.schema if f.name != text and f.name not in {n for n, _ in fields}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
@@ -161,7 +161,7 @@ def decode_ids(ids: list[int] | None, pieces: list[bytes]) -> str:
 def decode(df: DataFrame, ids: str = "ids", vocab: str | None = None) -> DataFrame:
     """df without its ids column, with text; empty for null and empty lists."""
     shared = df.sparkSession.sparkContext.broadcast(vocab or vocabulary())
-    keep = [f for f in df.schema if f.name != ids]
+    keep = [f for f in df.schema if f.name not in (ids, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
