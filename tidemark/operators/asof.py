@@ -96,24 +96,23 @@ def refuse_future(df: DataFrame, *, time: str = "date", available: str = "source
 
 
 def bitemporal_conflicts(facts: DataFrame, keys: list[str], *, effective_from: str = "effective_from", effective_to: str = "effective_to", available: str = "available_at", superseded: str = "superseded_at") -> DataFrame:
-    """(keys, _from, _known): each fact that overlaps an earlier-known one of its key on both clocks.
+    """(keys, effective_from, available_at): each fact that overlaps one of its key known before it (or at once) on both clocks.
 
-    Facts are sorted by when they were known; an overlap exists iff some earlier fact is neither superseded nor over.
-    It is told from interval end points by a join on the key; facts of a key that are superseded in order never pair.
+    Only facts that begin to be known before an earlier one of their key is superseded can conflict; two running
+    windows find them. The rest is a semi join on the key, which gives each fact once, however many it overlaps.
     """
     end = lambda c: F.coalesce(F.col(c).cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
     rows = facts.select(*keys, F.col(effective_from).cast("timestamp").alias("_f"), end(effective_to).alias("_t"), F.col(available).cast("timestamp").alias("_a"), end(superseded).alias("_s"))
-    rows = rows.withColumn("_id", F.monotonically_increasing_id())
-    # only facts that begin to be known before an earlier fact of their key is superseded can conflict at all
-    before = Window.partitionBy(*keys).orderBy("_a", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(F.desc("_a"), F.desc("_id")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_open", F.max("_s").over(before)).withColumn("_next", F.min("_a").over(after))
-    left, right = rows.where("_s > _next").alias("l"), rows.where("_a < _open").alias("r")
+    order = ["_a", "_f", "_t", "_s"]
+    by_known = Window.partitionBy(*keys).orderBy(*order)
+    rows = rows.withColumn("_n", F.row_number().over(by_known))
+    before = by_known.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_open", F.max("_s").over(before)).withColumn("_next", F.lead("_a").over(by_known))
+    later, earlier = rows.where("_a < _open").alias("r"), rows.where("_s > _next").alias("l")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    earlier = F.struct("l._a", "l._id") < F.struct("r._a", "r._id")
-    cross = (F.col("r._a") < F.col("l._s")) & (F.col("l._f") < F.col("r._t")) & (F.col("r._f") < F.col("l._t"))
-    pairs = left.join(right, [*same, earlier, cross])
-    return pairs.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._f").alias("effective_from"), F.col("r._a").alias("available_at")).agg(F.count("*").alias("pairs"))
+    overlap = (F.col("l._n") < F.col("r._n")) & (F.col("r._a") < F.col("l._s")) & (F.col("l._f") < F.col("r._t")) & (F.col("r._f") < F.col("l._t"))
+    found = later.join(earlier, [*same, overlap], "left_semi")
+    return found.select(*keys, F.col("_f").alias("effective_from"), F.col("_a").alias("available_at"))
 
 
 def bitemporal_join(observations: DataFrame, facts: DataFrame, *, time: str = "observation_time", as_of: str = "as_of", by: tuple[str, ...] = ("instrument_id",), columns: list[str] | None = None, effective_from: str = "effective_from", effective_to: str = "effective_to", available: str = "available_at", superseded: str = "superseded_at", check: bool = True) -> DataFrame:
@@ -199,7 +198,7 @@ def select_rate(rates: DataFrame, base: str, quote: str, cutoff: Column) -> Data
     pair = rates.where((F.col("base_currency") == base) & (F.col("quote_currency") == quote)).distinct()
     strict(pair.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1"), "event_id used with unlike facts")
     seen = known_by(pair, cutoff, "observed_at", "available_at")
-    best = seen.withColumn("_n", F.rank().over(Window.orderBy(F.desc("observed_at")))).where("_n = 1").select("event_id", F.col("rate_text").alias("rate"))
+    best = seen.join(seen.agg(F.max("observed_at").alias("observed_at")), "observed_at").select("event_id", F.col("rate_text").alias("rate"))
     found = best.limit(2).collect()
     if len(found) != 1:
         raise ValidationError(f"{'ambiguous' if found else 'missing'} rate {base}/{quote}")

@@ -34,7 +34,7 @@ def interval_bars(trades: DataFrame, starts: DataFrame, interval_us: int) -> Dat
     session_id, opens_at, one row a session. Trades before their session's start, or without one, are left out:
     ``untimely_trades`` lists them. The trades of a bar are added up before they are shuffled.
     """
-    joined = trades.join(F.broadcast(starts.select("session_id", F.unix_micros("opens_at").alias("_s"))), "session_id")  # a calendar: one row a session
+    joined = trades.join(starts.select("session_id", F.unix_micros("opens_at").alias("_s")), "session_id")
     elapsed = F.unix_micros("event_time") - F.col("_s")
     start = F.col("_s") + F.call_function("div", elapsed, F.lit(interval_us)) * interval_us
     rows = joined.where(elapsed >= 0).withColumn("_b", start)
@@ -45,27 +45,34 @@ def interval_bars(trades: DataFrame, starts: DataFrame, interval_us: int) -> Dat
 
 def untimely_trades(trades: DataFrame, starts: DataFrame) -> DataFrame:
     """Trades without a session start, or before it."""
-    joined = trades.join(F.broadcast(starts.select("session_id", F.col("opens_at").alias("_s"))), "session_id", "left")
+    joined = trades.join(starts.select("session_id", F.col("opens_at").alias("_s")), "session_id", "left")
     return joined.where("_s is null or event_time < _s").drop("_s")
 
 
 def session_bars(trades: DataFrame, sessions: DataFrame) -> DataFrame:
     """One bar for each stream, from its session's opens_at to closes_at."""
-    bars = trades.groupBy(*STREAM).agg(*_ohlc()).join(F.broadcast(sessions.select("session_id", F.col("opens_at").alias("bar_start"), F.col("closes_at").alias("bar_end"))), "session_id")
+    bars = trades.groupBy(*STREAM).agg(*_ohlc()).join(sessions.select("session_id", F.col("opens_at").alias("bar_start"), F.col("closes_at").alias("bar_end")), "session_id")
     return _finished(bars.withColumnRenamed("_sequence", "sequence"))
 
 
 def day_bars(trades: DataFrame, sessions: DataFrame, venues: DataFrame) -> DataFrame:
     """One bar for each source, instrument and trading day, over the day of the instrument's venue: first open to last close, under the last session's id."""
     days = sessions.groupBy("venue", "trading_day").agg(F.min("opens_at").alias("bar_start"), F.max("closes_at").alias("bar_end"), F.max_by("session_id", F.struct("closes_at", "session_id")).alias("session_id"))
-    bars = trades.groupBy("source", "instrument_id", "trading_day").agg(*_ohlc()).join(venues.select("instrument_id", "venue"), "instrument_id").join(F.broadcast(days), ["venue", "trading_day"])
+    bars = trades.groupBy("source", "instrument_id", "trading_day").agg(*_ohlc()).join(venues.select("instrument_id", "venue"), "instrument_id").join(days, ["venue", "trading_day"])
     return _finished(bars.withColumnRenamed("_sequence", "sequence"))
 
 
-def count_bars(trades: DataFrame, size: int, *, complete_only: bool = True) -> DataFrame:
-    """Bars of ``size`` trades of a stream; a bar starts where the one before ended, the first at the first trade."""
-    number = (F.row_number().over(Window.partitionBy(*STREAM).orderBy(*_ORDER)) - 1).cast("long")
-    rows = trades.withColumn("bar", F.call_function("div", number, F.lit(size)))
+def count_bars(trades: DataFrame, size: int, *, complete_only: bool = True, slice_seconds: int = 86400) -> DataFrame:
+    """Bars of ``size`` trades of a stream; a bar starts where the one before ended, the first at the first trade.
+
+    Trades are numbered in slices of time, to which the counts of the slices before are added: a stream with most of
+    the trades is many tasks' work.
+    """
+    sliced = trades.withColumn("_s", F.floor(F.unix_micros("event_time") / (slice_seconds * 10**6)).cast("long"))
+    counts = sliced.groupBy(*STREAM, "_s").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*STREAM).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*STREAM, "_s").orderBy(*_ORDER)) - 1
+    rows = sliced.join(counts.select(*STREAM, "_s", before.alias("_before")), [*STREAM, "_s"]).withColumn("bar", F.call_function("div", (own + F.col("_before")).cast("long"), F.lit(size))).drop("_s", "_before")
     return _event_bars(rows, F.lit(size) if complete_only else None)
 
 

@@ -62,10 +62,14 @@ def disjoint(intervals: DataFrame, key: str, rank: list[str], *, broadcast_rows:
     """Cut overlapping intervals of a key so that at each instant the one of the greatest rank is left.
 
     Winners change only at starts and ends; those instants are looked up in the intervals like events. Ranks within a
-    key must be unequal where intervals overlap.
+    key must be unequal where intervals overlap. An interval is over at the latest when one of greater rank without end
+    begins; it is cut there first, so that versions that nobody closed don't pile up.
     """
     payload = [c for c in intervals.columns if c not in (key, "start", "end")]
     usable = intervals.where(F.col(key).isNotNull() & (F.col("start") < F.col("end")))
+    better = Window.partitionBy(key).orderBy(*[F.desc(c) for c in rank]).rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.min(F.when(F.col("end") >= FOREVER, F.col("start"))).over(better)
+    usable = usable.withColumn("end", F.least("end", F.coalesce(covered, F.lit(FOREVER)))).where("start < end")
     ends = usable.select(key, F.explode(F.array("start", "end")).alias("_from")).where(F.col("_from") < FOREVER).distinct()
     hits = stab(ends, usable, key, "_from", broadcast_rows=broadcast_rows)
     best = hits.groupBy(key, "_from").agg(F.max_by(F.struct(*payload), F.struct(*rank)).alias("_best"))

@@ -54,10 +54,10 @@ def forward_labels(levels: DataFrame, selections: DataFrame, sessions: DataFrame
     positive_int(horizon, "horizon")
     numbered = sessions.select("date").distinct().withColumn("_n", F.row_number().over(Window.orderBy("date")))  # a calendar
     end_of = numbered.select((F.col("_n") - horizon).alias("_n"), F.col("date").alias("label_end"))
-    grid = F.broadcast(numbered.join(end_of, "_n", "left"))
+    grid = numbered.join(end_of, "_n", "left")
     strict(selections.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated samples")
-    strict(levels.join(F.broadcast(numbered), "date", "left_anti"), "levels outside the calendar")
-    strict(selections.join(F.broadcast(numbered), "date", "left_anti"), "samples outside the calendar")
+    strict(levels.join(numbered, "date", "left_anti"), "levels outside the calendar")
+    strict(selections.join(numbered, "date", "left_anti"), "samples outside the calendar")
     seen = levels.where(F.col("available_at") <= as_of).join(grid, "date").select("instrument_id", "date", "value", "_n")
     # a run of sessions without a gap: the number less the rank is constant
     runs = seen.withColumn("_run", F.col("_n") - F.row_number().over(Window.partitionBy("instrument_id").orderBy("_n")))

@@ -58,7 +58,7 @@ def calendar_coverage(df: DataFrame, calendar: DataFrame, *, date: str = "date",
     """
     days = calendar.select(F.col("date").cast("date").alias("_d")).dropna().distinct()
     seen = df.select(F.col(symbol).alias("symbol"), F.col(date).cast("date").alias("_d")).distinct()
-    hits = seen.join(F.broadcast(days.withColumn("_open", F.lit(1))), "_d", "left").groupBy("symbol").agg(F.count("_open").alias("observed_days"))
+    hits = seen.join(days.withColumn("_open", F.lit(1)), "_d", "left").groupBy("symbol").agg(F.count("_open").alias("observed_days"))
     out = hits.join(days.agg(F.count("*").alias("expected_days")))  # one row
     out = out.withColumn("missing_days", F.col("expected_days") - F.col("observed_days"))
     return out.withColumn("missing_ratio", F.try_divide("missing_days", "expected_days"))
@@ -241,6 +241,7 @@ def membership_by_replay(current: DataFrame, events: DataFrame, days: DataFrame)
     spans = marks.unionByName(first).unionByName(still)
     spans = spans.withColumn("_to", F.lead("_from").over(Window.partitionBy("symbol").orderBy(F.col("_from").asc_nulls_first()))).where("_in")
     open_days = days.select(F.col("date").cast("date").alias("date")).distinct()
+    # a range join: broadcast are the days, of which a calendar has a few hundred a year
     return spans.join(F.broadcast(open_days), (F.col("_from").isNull() | (F.col("date") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("date") < F.col("_to")))).select("date", "symbol")
 
 

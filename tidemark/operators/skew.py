@@ -166,6 +166,6 @@ def heavy_keys(df: DataFrame, group: str, key: str, share: float = 0.03) -> Data
     marked = counted.select("_g", F.coalesce("_k", F.lit("")).alias("_k"), F.col("_n"))
     rows = dense_aggregate(marked, ["_g", "_k", "_n"])
     totals = rows.groupBy("_g").agg(F.sum("rows").alias("_total"))
-    found = rows.where("_n = 0").join(F.broadcast(totals), "_g")  # one row a group
+    found = rows.where("_n = 0").join(totals, "_g")
     parts = 10**6
     return found.where(F.col("rows").cast("decimal(20,0)") * parts > F.col("_total").cast("decimal(20,0)") * round(share * parts)).select(F.col("_g").alias(group), F.col("_k").alias(key))

@@ -70,7 +70,7 @@ def bitemporal_conflicts(spark: SparkSession, d: str) -> DataFrame:
     v = _versions(spark, d)
     facts = v.select("o_custkey", "effective_from", F.date_add("effective_from", 90).cast("timestamp").alias("effective_to"), "available_at", F.date_add("effective_from", 120).cast("timestamp").alias("superseded_at"))
     out = asof.bitemporal_conflicts(facts, ["o_custkey"])
-    return out.select("o_custkey", _us("effective_from").alias("from_us"), "pairs")
+    return out.select("o_custkey", _us("effective_from").alias("from_us"))
 
 
 def lifecycle_filter(spark: SparkSession, d: str) -> DataFrame:
