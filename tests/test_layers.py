@@ -75,6 +75,40 @@ def test_one_bad_row_rejects_its_stream(spark):
         schemas.conform(trades(spark, data).drop("price"), "trade")
 
 
+def test_sequence_in_order_of_arrival(spark, tmp_path):
+    rows = [(*header("trade", i, i), (5, 1), (1, 0), "buy") for i in range(3)]
+    late = [(*header("trade", 10 + i, q, "late"), (5, 1), (1, 0), "buy") for i, q in enumerate((1, 3, 2))]
+    by_clock = trades(spark, rows + late)  # received a second apart
+    ordinal = {f"e{i}": n for n, i in enumerate((0, 1, 2, 10, 12, 11))}  # here the late one is in order
+    numbered = trades(spark, rows + late).withColumn("delivery_id", F.create_map(*[F.lit(x) for kv in ordinal.items() for x in kv])[F.col("event_id")])
+    backwards = numbered.withColumn("delivery_id", F.when(F.col("source") == "s", -F.col("delivery_id")).otherwise(F.col("delivery_id")))
+    for df, want in ((by_clock, {"late"}), (numbered, set()), (backwards, {"s"}), (by_clock.withColumn("delivery_id", F.lit(None).cast("int")), {"s", "late"})):
+        good, bad = lake.check_events(df, "trade")
+        assert {r.source for r in bad.collect()} == want and {r.source for r in good.collect()} == {"s", "late"} - want
+        assert ("delivery_id" in good.columns) == ("delivery_id" in df.columns)
+    assert lake.write_normalized(by_clock, f"file://{tmp_path}", "trade", provider="p", venue="v", references=[])[1]
+    with pytest.raises(ValidationError):
+        lake.check_events(by_clock, "trade", arrival="source")
+
+
+def test_snapshots_and_deltas_are_one_sequence(spark, tmp_path):
+    level = lambda p: ((p, 0), (1, 0), None)
+    fp = lambda u: (u, 0)
+    snaps = spark.createDataFrame([(*header("book_snapshot", i, 1, n), [level(3)], [level(6)]) for i, n in enumerate(("ok", "gap", "gone", "crossed"))], schemas.schema("book_snapshot"))
+    bad = {"gap": (5, 4, "bid", "upsert", 2, 1), "gone": (2, 1, "bid", "delete", 2, 0), "crossed": (2, 1, "bid", "upsert", 6, 1), "ok": (2, 1, "bid", "upsert", 4, 1), "none": (2, 1, "bid", "upsert", 4, 1)}
+    data = [(*header("book_delta", i + 10, seq, n), side, action, fp(price), fp(quantity), prev) for i, (n, (seq, prev, side, action, price, quantity)) in enumerate(bad.items())]
+    deltas = spark.createDataFrame(data, schemas.schema("book_delta"))
+    good, rejected = lake.check_events(deltas, "book_delta", beside={"book_snapshot": snaps})
+    assert {r.source for r in good.collect()} == {"ok"}
+    assert {r.source: r.reasons for r in rejected.collect()} == {"gap": ["sequence"], "gone": ["replay:absent_level"], "crossed": ["replay:crossed"], "none": ["replay:no_snapshot"]}
+    assert {r.source for r in lake.check_events(snaps, "book_snapshot", beside={"book_delta": deltas})[0].collect()} == {"ok"}
+    assert lake.check_events(snaps, "book_snapshot")[0].count() == 4
+    with pytest.raises(ValidationError):
+        lake.write_normalized(deltas, f"file://{tmp_path}", "book_delta", provider="p", venue="v", references=[])
+    name, quarantine = lake.write_normalized(deltas, f"file://{tmp_path}", "book_delta", provider="p", venue="v", references=[], beside={"book_snapshot": snaps})
+    assert quarantine and lake.manifest_of(spark, f"file://{tmp_path}/normalized", name)["rows"] == 1
+
+
 def test_book_rules(spark):
     level = lambda p, q=1: ((p, 0), (q, 0), None)
     data = [(*header("book_snapshot", 1, 1), [level(3), level(2)], [level(4)]), (*header("book_snapshot", 2, 2), [level(2), level(3)], [level(4)]), (*header("book_snapshot", 3, 3), [level(4)], [level(4)]), (*header("book_snapshot", 4, 4), [], [level(4)])]

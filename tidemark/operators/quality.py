@@ -182,32 +182,32 @@ def incremental_start(df: DataFrame, default, *, date: str = "date"):
     return last or default
 
 
-def lag_by_slices(df: DataFrame, stream: list[str], order: str, column: str, output: str, width: int) -> DataFrame:
-    """df with the column's value in the row before, of a stream, in order of a long column.
+def lag_by_slices(df: DataFrame, stream: list[str], order: str, column: str, output: str, width: int, ties: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """df with the column's value in the row before, of a stream, in order of a long column and, where that is equal, of ties.
 
     Rows are windowed in slices of ``width`` of the order; the last row of the slice before is carried over from a
     table of one row a slice. So one stream with most rows is many tasks' work.
     """
     slices = df.withColumn("_s", F.floor(F.col(order) / width).cast("long"))
-    last = slices.groupBy(*stream, "_s").agg(F.max(F.struct(F.col(order).alias("o"), F.col(column).alias("v"))).alias("_l"))
+    last = slices.groupBy(*stream, "_s").agg(F.max(F.struct(F.col(order).alias("o"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.col(column).alias("v"))).alias("_l"))
     carried = last.withColumn("_c", F.lag("_l").over(Window.partitionBy(*stream).orderBy("_s")))
     carried = carried.where("_c is not null").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(stream)], F.col("_s").alias("_s2"), F.col("_c.v").alias("_v"))
-    own = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*stream, "_s").orderBy(order))
+    own = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*stream, "_s").orderBy(order, *ties))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(stream)] + [F.col("_s") == F.col("_s2")]
     rows = slices.withColumn("_own", own)
     first = rows.where("_own is null").join(carried, same, "left").withColumn(output, F.col("_v")).select(*df.columns, output)
     return rows.where("_own is not null").withColumn(output, F.col("_own.v")).select(*df.columns, output).unionByName(first)
 
 
-def sequence_breaks(events: DataFrame, stream: list[str], order: str, width: int | None = None) -> DataFrame:
+def sequence_breaks(events: DataFrame, stream: list[str], order: str, width: int | None = None, ties: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Rows whose sequence does not advance, or whose previous_sequence is not the one before, in the order of arrival.
 
-    width: slices of a long order column, for streams too long for one task.
+    width: slices of a long order column, for streams too long for one task. ties: what orders rows of equal order.
     """
     if width is None:
-        rows = events.withColumn("_before", F.lag("sequence").over(Window.partitionBy(*stream).orderBy(order)))
+        rows = events.withColumn("_before", F.lag("sequence").over(Window.partitionBy(*stream).orderBy(order, *ties)))
     else:
-        rows = lag_by_slices(events, stream, order, "sequence", "_before", width)
+        rows = lag_by_slices(events, stream, order, "sequence", "_before", width, ties)
     broken = F.col("sequence") <= F.col("_before")
     if "previous_sequence" in events.columns:
         broken = broken | (F.col("previous_sequence") != F.col("_before"))

@@ -10,20 +10,26 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.values import digest
+from tidemark.operators import book
 from tidemark.operators.checks import ValidationError, every_copy_of_duplicates, strict, violations
 from tidemark.operators.quality import sequence_breaks
-from tidemark.sources.schemas import conform, rules
+from tidemark.sources.schemas import conform, rules, schema
 from tidemark.sources.shared import drop_folder, file_system, written
 
 STREAM = ["source", "instrument_id", "session_id"]
-#: Sequences of a stream that one task checks.
-SLICE = 1 << 20
+#: Columns that number rows as they came in; the first one that all frames have is the order of arrival.
+ORDINALS = ("ingest_ordinal", "delivery_id")
+#: Kinds that share one sequence.
+BOOK = ("book_snapshot", "book_delta")
+#: Ordinals, and microseconds of receipt, of a stream that one task checks.
+SLICE, SLICE_US = 1 << 20, 1 << 30
 PARTITION = ["provider", "venue", "event_type", "date", "instrument"]
 
 
@@ -163,17 +169,60 @@ def missing_references(references: DataFrame, manifests: DataFrame) -> DataFrame
     return references.join(manifests, "sha256", "left_anti")
 
 
-def check_events(events: DataFrame, kind: str, *, arrival: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected with reason). One bad row rejects its stream; every copy of a repeated event_id is bad.
+def _arrived(frames: dict[str, DataFrame], arrival: str | None) -> tuple[dict[str, DataFrame], int]:
+    """Frames of their schema's columns and the ordinal, with _at to order them by, and the slice of _at for one task.
 
-    Checks without order come first; streams that are left, after repeated ids went, must advance in sequence.
+    Frames without an ordinal are in order of receipt; what was received at one instant is in order of sequence.
     """
-    own = conform(events, kind) if arrival is None else conform(events, kind).withColumn("_arrival", F.col("sequence"))
-    order = arrival or "sequence"
-    broken = violations(own, rules(kind), [*STREAM, "event_id"]).select(*STREAM, F.concat(F.lit("rule:"), "rule").alias("reason"))
-    twice = every_copy_of_duplicates(own, ["event_id"]).select(*STREAM, F.lit("repeated_event_id").alias("reason"))
-    gaps = sequence_breaks(events if arrival else own, STREAM, order, SLICE).select(*STREAM, F.lit("sequence").alias("reason"))
-    reasons = written(broken.unionByName(twice).unionByName(gaps).groupBy(*STREAM).agg(F.array_sort(F.collect_set("reason")).alias("reasons")), "reasons")  # a few rule names a stream
+    name = arrival or next((c for c in ORDINALS if all(c in df.columns for df in frames.values())), None)
+    if name is None:
+        return {k: conform(df, k).withColumn("_at", F.unix_micros("received_at")) for k, df in frames.items()}, SLICE_US
+    return {k: conform(df, k, ordinal=name).withColumn("_at", F.col(name).cast("long")) for k, df in frames.items()}, SLICE
+
+
+def _order_faults(frames: dict[str, DataFrame], width: int) -> DataFrame:
+    """(STREAM, reason): sequences that do not advance as rows came in, deltas that do not follow the row before, rows without their place in that order."""
+    rows = None
+    for kind, df in frames.items():
+        before = F.col("previous_sequence") if kind == "book_delta" else F.lit(None).cast("bigint")
+        part = df.select(*STREAM, F.lit("book" if kind in BOOK else kind).alias("_domain"), "_at", "sequence", "event_id", before.alias("previous_sequence"))
+        rows = part if rows is None else rows.unionByName(part)
+    gaps = sequence_breaks(rows.where("_at is not null"), [*STREAM, "_domain"], "_at", width, ["sequence", "event_id"]).select(*STREAM, F.lit("sequence").alias("reason"))
+    return gaps.unionByName(rows.where("_at is null").select(*STREAM, F.lit("no_arrival").alias("reason")))
+
+
+def _replay_faults(frames: dict[str, DataFrame], known: DataFrame, group: int) -> DataFrame:
+    """(STREAM, reason) of books that break when replayed, of streams without other faults."""
+    rows = None
+    for kind in BOOK:
+        if kind in frames:
+            part = frames[kind].withColumn("kind", F.lit(kind))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if "book_delta" not in frames:
+        rows = rows.withColumns({c: F.lit(None).cast(schema("book_delta")[c].dataType) for c in ("side", "action", "price", "quantity", "previous_sequence")})
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in STREAM]
+    left = rows.alias("e").join(known.alias("r"), same, "left_anti")
+    return book.replay(left, group=group).where("violation is not null").select(*STREAM, F.concat(F.lit("replay:"), "violation").alias("reason"))
+
+
+def check_events(events: DataFrame, kind: str, *, arrival: str | None = None, beside: dict[str, DataFrame] | None = None, group: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected with reasons) of events. One bad row rejects its stream; every copy of a repeated event_id is bad.
+
+    Sequences must advance in the order in which rows came in: of the column ``arrival``, else of an ordinal (ORDINALS)
+    that the frame has, else of received_at. beside: frames of other kinds that share the streams, checked with them and
+    not returned. Snapshots and deltas are one sequence, and are replayed once snapshots are there (group as in
+    book.replay); deltas alone are checked for their own chain only.
+    """
+    frames, width = _arrived({kind: events, **(beside or {})}, arrival)
+    own = frames[kind].drop("_at")
+    broken = [violations(df, rules(k), STREAM).select(*STREAM, F.concat(F.lit("rule:"), "rule").alias("reason")) for k, df in frames.items()]
+    names = reduce(DataFrame.unionByName, [df.select(*STREAM, "event_id") for df in frames.values()])
+    twice = every_copy_of_duplicates(names, ["event_id"]).select(*STREAM, F.lit("repeated_event_id").alias("reason"))
+    found = reduce(DataFrame.unionByName, [*broken, twice, _order_faults(frames, width)])
+    by_stream = lambda df: written(df.groupBy(*STREAM).agg(F.array_sort(F.collect_set("reason")).alias("reasons")), "reasons")  # noqa: E731  a few rule names a stream
+    reasons = by_stream(found)
+    if "book_snapshot" in frames:
+        reasons = by_stream(reasons.select(*STREAM, F.explode("reasons").alias("reason")).unionByName(_replay_faults(frames, reasons, group)))
     if reasons.isEmpty():
         return own, own.withColumn("reasons", F.array().cast("array<string>")).limit(0)
     same = [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in STREAM]
@@ -181,13 +230,16 @@ def check_events(events: DataFrame, kind: str, *, arrival: str | None = None) ->
     return e.join(r, same, "left_anti"), e.join(r, same).select("e.*", "r.reasons")
 
 
-def write_normalized(events: DataFrame, root: str, kind: str, *, provider: str, venue: Column | str, references: list[str], on_violation: str = "quarantine") -> tuple[str, str | None]:
+def write_normalized(events: DataFrame, root: str, kind: str, *, provider: str, venue: Column | str, references: list[str], on_violation: str = "quarantine", arrival: str | None = None, beside: dict[str, DataFrame] | None = None, group: int = 1) -> tuple[str, str | None]:
     """(snapshot id, quarantine id or None) of events, partitioned by provider, venue, type, date and instrument.
 
+    arrival, beside and group as in check_events; deltas are not written without the snapshots of their books beside.
     'fail' refuses everything on any violation instead. Identifiers that an earlier snapshot under root claimed with
     other content are refused.
     """
-    good, bad = check_events(events, kind)
+    if kind == "book_delta" and "book_snapshot" not in (beside or {}):
+        raise ValidationError("deltas are checked with the snapshots of their books")
+    good, bad = check_events(events, kind, arrival=arrival, beside=beside, group=group)
     bad = written(bad, "rejected")
     if on_violation == "fail":
         strict(bad.select(*STREAM, "event_id", "reasons"), "normalized events")
@@ -206,8 +258,6 @@ def write_normalized(events: DataFrame, root: str, kind: str, *, provider: str,
 
 def event_claims(rows: DataFrame, kind: str) -> DataFrame:
     """(event_id_hash, event_id, event_sha256, claim_sha256, shard) of each event: what an identifier stands for."""
-    from tidemark.sources.schemas import schema
-
     c = rows.select("event_id", digest(schema(kind).names).alias("event_sha256")).withColumn("event_id_hash", F.sha2("event_id", 256))
     return c.withColumn("claim_sha256", digest(["event_id_hash", "event_id", "event_sha256"])).withColumn("shard", F.substring("event_id_hash", 1, 2))
 

@@ -44,13 +44,18 @@ def schema(kind: str) -> T.StructType:
     raise ValidationError(f"unknown schema {kind}")
 
 
-def conform(df: DataFrame, kind: str) -> DataFrame:
-    """df with exactly the schema's columns in order; another type or a missing column raises, other columns are dropped."""
+def conform(df: DataFrame, kind: str, *, ordinal: str | None = None) -> DataFrame:
+    """df with exactly the schema's columns in order; another type or a missing column raises, other columns are dropped.
+
+    ordinal: a whole number that says in what order rows came in, kept as the last column.
+    """
     want, have = schema(kind), {f.name: f.dataType.simpleString() for f in df.schema}
     wrong = {f.name: have.get(f.name) for f in want if have.get(f.name) != f.dataType.simpleString()}
     if wrong:
         raise ValidationError(f"{kind}: {wrong}")
-    return df.select(*want.names)
+    if ordinal is not None and have.get(ordinal) not in ("bigint", "int"):
+        raise ValidationError(f"{kind}: {ordinal} is not a whole number: {have.get(ordinal)}")
+    return df.select(*want.names, *([] if ordinal is None or ordinal in want.names else [ordinal]))
 
 
 def _fixed(c: str, strict: bool = True) -> Column:
