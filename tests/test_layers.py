@@ -109,6 +109,41 @@ def test_snapshots_and_deltas_are_one_sequence(spark, tmp_path):
     assert quarantine and lake.manifest_of(spark, f"file://{tmp_path}/normalized", name)["rows"] == 1
 
 
+def test_repeated_ids_go_row_by_row(spark):
+    rows = [(*header("trade", i, i, s), (5, 1), (1, 0), "buy") for s, ids in (("a", (0, 1, 2, 3)), ("b", (1, 4, 5))) for i in ids]
+    rows += [(*header("trade", i, q, "again"), (5, 1), (1, 0), "buy") for i, q in ((7, 1), (8, 2), (8, 2), (9, 3))]  # not one id only, but a sequence that stands still
+    good, bad = lake.check_events(trades(spark, rows), "trade")
+    assert Counter((r.source, r.event_id) for r in good.collect()) == Counter([("a", "e0"), ("a", "e2"), ("a", "e3"), ("b", "e4"), ("b", "e5")])
+    assert Counter((r.source, r.event_id, *r.reasons) for r in bad.collect()) == Counter([("a", "e1", "repeated_event_id"), ("b", "e1", "repeated_event_id"), ("again", "e7", "sequence"), *[("again", "e8", "repeated_event_id", "sequence")] * 2, ("again", "e9", "sequence")])
+
+
+def test_a_book_without_its_repeated_ids_is_checked_again(spark):
+    level = lambda p: ((p, 0), (1, 0), None)
+    snaps = spark.createDataFrame([(*header("book_snapshot", i, 1, n), [level(3)], [level(6)]) for i, n in enumerate(("ends", "breaks"))], schemas.schema("book_snapshot"))
+    data = [(*header("book_delta", i, q, n), "bid", "upsert", (2, 0), (1, 0), q - 1) for n, ids in (("ends", (11, 12, 13)), ("breaks", (3, 13, 23))) for q, i in enumerate(ids, 2)]
+    deltas = spark.createDataFrame(data, schemas.schema("book_delta")).withColumns({"ingest_ordinal": F.col("sequence")})
+    good, bad = lake.check_events(deltas, "book_delta", beside={"book_snapshot": snaps.withColumn("ingest_ordinal", F.col("sequence"))})
+    assert sorted(r.event_id for r in good.collect()) == ["e11", "e12"]
+    assert {r.event_id + r.source: r.reasons for r in bad.collect()} == {"e13ends": ["repeated_event_id"], "e3breaks": ["sequence"], "e13breaks": ["repeated_event_id", "sequence"], "e23breaks": ["sequence"]}
+
+
+def test_normalized_streams_against_plain_python(spark, sf):
+    import duckdb
+
+    from tidemark.plans import layers, layers_sql
+
+    rows = duckdb.sql(f"select source, instrument_id, session_id, sequence, event_id, {layers_sql._BAD_TRADE} as bad from '{sf}/market_trades.parquet' order by delivery_id").fetchall()
+    copies, last, broken = Counter(r[4] for r in rows), {}, set()
+    for *stream, sequence, _, bad in rows:
+        key = tuple(stream)
+        if bad or (key in last and sequence <= last[key]):
+            broken.add(key)
+        else:
+            last[key] = sequence
+    want = Counter((r[0], "rejected" if tuple(r[:3]) in broken or copies[r[4]] > 1 else "kept") for r in rows)
+    assert {(r.source, r.part): r.n for r in layers.normalized_streams(spark, sf).collect()} == want
+
+
 def test_book_rules(spark):
     level = lambda p, q=1: ((p, 0), (q, 0), None)
     data = [(*header("book_snapshot", 1, 1), [level(3), level(2)], [level(4)]), (*header("book_snapshot", 2, 2), [level(2), level(3)], [level(4)]), (*header("book_snapshot", 3, 3), [level(4)], [level(4)]), (*header("book_snapshot", 4, 4), [], [level(4)])]

@@ -2,7 +2,7 @@
 
 A snapshot is a folder named by its content's hash: partitioned Parquet and a manifest. It is written beside its place
 and renamed into it, so readers see all of it or nothing; writing the same content again changes nothing. Rows that
-break rules go, with all rows of their stream, to a quarantine folder.
+break rules go, with all rows of their stream, to a quarantine folder, and so do all copies of a repeated event_id.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.values import digest
 from tidemark.operators import book
-from tidemark.operators.checks import ValidationError, every_copy_of_duplicates, strict, violations
+from tidemark.operators.checks import ValidationError, duplicates, strict, violations
 from tidemark.operators.quality import sequence_breaks
 from tidemark.sources.schemas import conform, rules, schema
 from tidemark.sources.shared import drop_folder, file_system, written
@@ -191,6 +191,11 @@ def _order_faults(frames: dict[str, DataFrame], width: int) -> DataFrame:
     return gaps.unionByName(rows.where("_at is null").select(*STREAM, F.lit("no_arrival").alias("reason")))
 
 
+def _without(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not among the known; null is a key like others."""
+    return rows.alias("e").join(known.alias("r"), [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left_anti")
+
+
 def _replay_faults(frames: dict[str, DataFrame], known: DataFrame, group: int) -> DataFrame:
     """(STREAM, reason) of books that break when replayed, of streams without other faults."""
     rows = None
@@ -200,34 +205,39 @@ def _replay_faults(frames: dict[str, DataFrame], known: DataFrame, group: int) -
             rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     if "book_delta" not in frames:
         rows = rows.withColumns({c: F.lit(None).cast(schema("book_delta")[c].dataType) for c in ("side", "action", "price", "quantity", "previous_sequence")})
-    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in STREAM]
-    left = rows.alias("e").join(known.alias("r"), same, "left_anti")
-    return book.replay(left, group=group).where("violation is not null").select(*STREAM, F.concat(F.lit("replay:"), "violation").alias("reason"))
+    return book.replay(_without(rows, known, STREAM), group=group).where("violation is not null").select(*STREAM, F.concat(F.lit("replay:"), "violation").alias("reason"))
 
 
 def check_events(events: DataFrame, kind: str, *, arrival: str | None = None, beside: dict[str, DataFrame] | None = None, group: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected with reasons) of events. One bad row rejects its stream; every copy of a repeated event_id is bad.
+    """(good, rejected with reasons) of events: all rows of a stream that one row breaks, and every copy of a repeated event_id.
 
-    Sequences must advance in the order in which rows came in: of the column ``arrival``, else of an ordinal (ORDINALS)
-    that the frame has, else of received_at. beside: frames of other kinds that share the streams, checked with them and
-    not returned. Snapshots and deltas are one sequence, and are replayed once snapshots are there (group as in
-    book.replay); deltas alone are checked for their own chain only.
+    Streams are checked with the copies in, and again without them: a copy alone takes out no other row, but a book that
+    lacks it may break. Sequences must advance in the order in which rows came in: of the column ``arrival``, else of an
+    ordinal (ORDINALS) that the frame has, else of received_at. beside: frames of other kinds that share the streams,
+    checked with them and not returned. Snapshots and deltas are one sequence, and are replayed once snapshots are there
+    (group as in book.replay); deltas alone are checked for their own chain only.
     """
     frames, width = _arrived({kind: events, **(beside or {})}, arrival)
     own = frames[kind].drop("_at")
     broken = [violations(df, rules(k), STREAM).select(*STREAM, F.concat(F.lit("rule:"), "rule").alias("reason")) for k, df in frames.items()]
-    names = reduce(DataFrame.unionByName, [df.select(*STREAM, "event_id") for df in frames.values()])
-    twice = every_copy_of_duplicates(names, ["event_id"]).select(*STREAM, F.lit("repeated_event_id").alias("reason"))
-    found = reduce(DataFrame.unionByName, [*broken, twice, _order_faults(frames, width)])
     by_stream = lambda df: written(df.groupBy(*STREAM).agg(F.array_sort(F.collect_set("reason")).alias("reasons")), "reasons")  # noqa: E731  a few rule names a stream
-    reasons = by_stream(found)
+    more = lambda known, df: by_stream(known.select(*STREAM, F.explode("reasons").alias("reason")).unionByName(df))
+    reasons = by_stream(reduce(DataFrame.unionByName, [*broken, _order_faults(frames, width)]))
     if "book_snapshot" in frames:
-        reasons = by_stream(reasons.select(*STREAM, F.explode("reasons").alias("reason")).unionByName(_replay_faults(frames, reasons, group)))
-    if reasons.isEmpty():
-        return own, own.withColumn("reasons", F.array().cast("array<string>")).limit(0)
-    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in STREAM]
-    e, r = own.alias("e"), reasons.alias("r")
-    return e.join(r, same, "left_anti"), e.join(r, same).select("e.*", "r.reasons")
+        reasons = more(reasons, _replay_faults(frames, reasons, group))
+    ids = reduce(DataFrame.unionByName, [df.select("event_id") for df in frames.values()]).where("event_id is not null")
+    twice = written(duplicates(ids, ["event_id"]).select("event_id"), "repeated")
+    books = [k for k in frames if k in BOOK]
+    if books and not twice.isEmpty():  # what is left of other kinds still advances, and rules are of single rows
+        rest = {k: _without(frames[k], reasons, STREAM).join(twice, "event_id", "left_anti") for k in books}
+        reasons = more(reasons, _order_faults(rest, width))
+        if "book_snapshot" in rest:
+            reasons = more(reasons, _replay_faults(rest, reasons, group))
+    good = _without(own, reasons, STREAM).join(twice, "event_id", "left_anti").select(*own.columns)
+    e = own.alias("e").join(reasons.alias("r"), [F.col(f"e.{k}").eqNullSafe(F.col(f"r.{k}")) for k in STREAM], "left").join(twice.withColumn("_twice", F.array(F.lit("repeated_event_id"))).alias("t"), F.col("e.event_id") == F.col("t.event_id"), "left")
+    none = F.array().cast("array<string>")
+    bad = e.where("r.reasons is not null or t._twice is not null").select("e.*", F.concat(F.coalesce("t._twice", none), F.coalesce("r.reasons", none)).alias("reasons"))
+    return good, bad
 
 
 def write_normalized(events: DataFrame, root: str, kind: str, *, provider: str, venue: Column | str, references: list[str], on_violation: str = "quarantine", arrival: str | None = None, beside: dict[str, DataFrame] | None = None, group: int = 1) -> tuple[str, str | None]:
