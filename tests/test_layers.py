@@ -299,6 +299,36 @@ def test_exchange_messages(spark):
     assert pairs.select(exchange.book_checksum(F.col("b"), F.col("a"))).first()[0] == (crc - 2**32 if crc >= 2**31 else crc)
 
 
+def test_provider_ids_are_chained(spark):
+    frame = lambda messages: spark.createDataFrame([(i, json.dumps(m)) for i, m in enumerate(messages)], "ingest_ordinal long, value string")
+    snap = lambda n: {"e": "depthSnapshot", "E": 1000, "s": "AB", "lastUpdateId": n, "bids": [["10", "1"]], "asks": [["12", "2"]]}
+    step = lambda pu, u, b=(("9", "1"),): {"e": "depthUpdate", "E": 1000, "s": "AB", "U": pu + 1, "u": u, "pu": pu, "b": list(b), "a": []}
+    f = exchange.FACTOR
+
+    def found(messages):
+        df = frame(messages)
+        deltas = [r for r in exchange.diff_depth_events(df, price_scale=0, quantity_scale=0).collect() if r.event_type == "book_delta"]
+        return sorted((r.update, r.fault) for r in exchange.diff_depth_faults(df).collect()), {r.sequence - r.sequence // f * f + r.sequence // f * 10: r.previous_sequence for r in deltas}
+
+    whole = [snap(5), step(5, 7, (("9", "1"), ("8", "1"))), step(7, 9, ()), step(9, 11), snap(20), step(20, 21)]
+    assert found(whole) == ([], {71: 5 * f, 72: 7 * f + 1, 111: 7 * f + 2, 211: 20 * f})
+    assert found([snap(5), step(5, 7), step(9, 11)]) == ([(11, "gap")], {71: 5 * f, 111: None})  # 9 was lost
+    assert found([snap(5), step(7, 9), step(5, 7)])[0] == [(7, "gap"), (9, "gap")]  # reversed
+    assert found([step(4, 5), snap(5), step(5, 7), step(5, 7)])[0] == [(5, "no_snapshot"), (7, "gap")]
+    assert found([snap(5), snap(4)])[0] == [(4, "snapshot_not_advancing")]
+    assert found([snap(5), {**step(5, 7), "U": 7}])[0] == [(7, "range")]
+
+    def channel(*rows):
+        ms = [{"arg": {"channel": "books", "instId": "X"}, "action": a, "data": [{"ts": "1000", "seqId": q, "prevSeqId": p, "bids": [["1", "2"]] if n else [], "asks": []}]} for a, p, q, n in rows]
+        df = frame(ms)
+        return sorted((r.update, r.fault) for r in exchange.channel_faults(df).collect()), sorted((r.sequence, r.previous_sequence) for r in exchange.channel_events(df, price_scale=0, quantity_scale=0).where("event_type = 'book_delta'").collect())
+
+    s, u = "snapshot", "update"
+    assert channel((s, -1, 4, 1), (u, 4, 4, 0), (u, 4, 5, 0), (u, 5, 6, 1)) == ([], [(6 * f + 1, 4 * f)])  # a heartbeat, an update without levels
+    assert channel((s, -1, 4, 1), (u, 5, 5, 0), (u, 5, 6, 1))[0] == [(5, "gap")]
+    assert channel((s, -1, 9, 1), (u, 9, 3, 0), (u, 3, 4, 1), (s, -1, 5, 1), (u, 5, 6, 1)) == ([(3, "reset"), (4, "no_snapshot")], [(4 * f + 1, None), (6 * f + 1, 5 * f)])
+
+
 def test_feed_synchronisation_as_a_stream(spark, tmp_path):
     frames = [("f", 1, 1, 3, None), ("f", 2, None, 5, None), ("f", 3, 1, 4, None), ("f", 4, 4, 7, None), ("f", 5, 8, 9, None), ("f", 6, 8, 9, None), ("f", 7, 12, 13, None), ("f", 8, 14, 15, None), ("f", 9, None, 20, None), ("f", 10, 21, 22, None)]
     df = spark.createDataFrame(frames, "stream string, ordinal long, first_id long, last_id long, previous_id long")
