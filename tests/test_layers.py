@@ -341,6 +341,21 @@ def test_feed_synchronisation_as_a_stream(spark, tmp_path):
     assert Counter(r.outcome for r in out.collect()) == Counter(["buffered", "snapshot", "late", "bridge", "live", "duplicate", "gap", "buffered", "snapshot", "bridge"])
 
 
+def test_buffered_frames_are_let_in_after_the_snapshot(spark, tmp_path):
+    # 4 to 7 bridges snapshot 5 and came before it; the snapshot comes in another batch
+    frames = [("f", 1, 1, 3, None), ("f", 2, 4, 7, None), ("f", 3, 8, 9, None), ("f", 4, None, 5, None), ("f", 5, 10, 11, None)]
+    frames += [("r", 1, None, 50, None), ("r", 2, 51, 52, 50), ("r", 3, 3, 3, 52), ("r", 4, 4, 4, 3), ("r", 5, None, 3, None), ("r", 6, 5, 5, 4)]
+    df = spark.createDataFrame(frames, "stream string, ordinal long, first_id long, last_id long, previous_id long")
+    for part in (df.where("ordinal <= 3"), df.where("ordinal > 3")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = capture.synchronised(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), chained=True).writeStream.outputMode("append").foreachBatch(capture.publish_each_batch_once(f"file://{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = capture.published(spark, f"file://{tmp_path}/out", "stream string, first_id long, last_id long, outcome string, state string").collect()
+    of = lambda s: Counter((r.last_id, r.outcome) for r in out if r.stream == s)
+    assert of("f") == Counter([(3, "buffered"), (7, "buffered"), (9, "buffered"), (5, "snapshot"), (7, "bridge"), (9, "live"), (11, "live")])
+    assert of("r") == Counter([(50, "snapshot"), (52, "bridge"), (3, "reset"), (4, "buffered"), (3, "snapshot"), (4, "bridge"), (5, "live")])
+
+
 def test_bars_over_a_stream_equal_bars_at_once(spark, tmp_path):
     rnd = random.Random(8)
     data = [("s", rnd.choice("ab"), T0 + timedelta(minutes=rnd.randint(0, 200)), i, str(i), rnd.randint(1, 9), 1) for i in range(300)] + [("s", "z", T0 + timedelta(days=2), 999, "999", 1, 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,11 +25,19 @@ _OUT = "stream string, first_id long, last_id long, outcome string, state string
 class FeedSync:
     """One feed of ranged updates [first_id, last_id] with an optional id of the update before, and snapshots (first_id null)."""
 
-    def __init__(self, state: str = "BUFFERING", last: int = -1, bridged: bool = False, chained: bool = False):
-        self.state, self.last, self.bridged, self.chained = state, last, bridged, chained
+    def __init__(self, state: str = "BUFFERING", last: int = -1, bridged: bool = False, chained: bool = False, held: list | None = None):
+        self.state, self.last, self.bridged, self.chained, self.held = state, last, bridged, chained, held or []
+
+    def release(self) -> Iterator[tuple[int, int, str]]:
+        """(first, last, outcome) of the frames that waited for the snapshot, in order; those that it holds already have none."""
+        waiting, self.held = self.held, []
+        for first, last, previous in waiting:
+            outcome = self.admit(first, last, previous)
+            if outcome not in ("late", "buffered"):  # buffered: after a gap they wait for the next snapshot
+                yield first, last, outcome
 
     def admit(self, first: int | None, last: int, previous: int | None) -> str:
-        """Outcome of a frame: snapshot, buffered, late, duplicate, bridge, live or gap."""
+        """Outcome of a frame: snapshot, buffered, late, duplicate, bridge, live, gap or reset (an id below its own previous)."""
         if first is None:
             if self.state == "LIVE" and last <= self.last:
                 return "duplicate"
@@ -36,7 +45,11 @@ class FeedSync:
             return "snapshot"
         if self.state in ("CONNECTING", "BUFFERING", "RESYNC"):
             self.state = "BUFFERING"
+            self.held.append((first, last, previous))
             return "buffered"
+        if previous is not None and last < previous:
+            self.state, self.bridged = "RESYNC", False
+            return "reset"
         if last <= self.last:
             return "late" if not self.bridged else "duplicate"
         if not self.bridged:  # the first update must hold the snapshot's id, or the next one
@@ -52,7 +65,10 @@ class FeedSync:
 
 def _sync(chained: bool):
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        feed = FeedSync(*state.get, chained) if state.exists else FeedSync(chained=chained)
+        feed = FeedSync(chained=chained)
+        if state.exists:
+            *at, waiting = state.get
+            feed = FeedSync(*at, chained, json.loads(waiting))
         held = pd.concat(list(frames)).sort_values("ordinal", kind="stable")  # one micro-batch of one feed
         out = []
         for f in held.itertuples(index=False):
@@ -60,7 +76,9 @@ def _sync(chained: bool):
             previous = None if pd.isna(f.previous_id) else int(f.previous_id)
             outcome = feed.admit(first, int(f.last_id), previous)
             out.append((key[0], first, int(f.last_id), outcome, feed.state))
-        state.update((feed.state, feed.last, feed.bridged))
+            if outcome == "snapshot":
+                out += [(key[0], *frame, feed.state) for frame in feed.release()]
+        state.update((feed.state, feed.last, feed.bridged, json.dumps(feed.held)))
         frame = pd.DataFrame(out, columns=["stream", "first_id", "last_id", "outcome", "state"])
         frame["first_id"] = frame["first_id"].astype("Int64")
         yield frame
@@ -69,8 +87,12 @@ def _sync(chained: bool):
 
 
 def synchronised(frames: DataFrame, *, chained: bool = False) -> DataFrame:
-    """(stream, first_id, last_id, outcome, state) of each frame of a streaming frame (stream, ordinal, first_id, last_id, previous_id)."""
-    return frames.groupBy("stream").applyInPandasWithState(_sync(chained), _OUT, "state string, last long, bridged boolean", "append", GroupStateTimeout.NoTimeout)
+    """(stream, first_id, last_id, outcome, state) of each frame of a streaming frame (stream, ordinal, first_id, last_id, previous_id).
+
+    Frames that come before the snapshot are buffered in the state and have a second row once it lets them in; a buffered
+    frame without one is in the snapshot, or still waits.
+    """
+    return frames.groupBy("stream").applyInPandasWithState(_sync(chained), _OUT, "state string, last long, bridged boolean, held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def streaming_bars(trades: DataFrame, *, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
