@@ -39,6 +39,22 @@ def test_dense_aggregate_equals_plain_grouping(spark):
         assert rows(dense_aggregate(df, ["k"], measures, block=2, broadcast_bytes=size)) == rows(want)
 
 
+def test_first_and_last_of_keys(spark):
+    rnd = random.Random(12)
+    data = [(rnd.choice([*"abc", *map(str, range(30))]), rnd.choice([None, *range(-9, 9)]), rnd.choice([None, *range(4)]), i) for i in range(3000)]
+    data += [("nulls", None, 1, 3000)]
+    df = spark.createDataFrame(data, "k string, v long, t long, i long").repartition(5)
+    want = {}
+    for k, v, t, i in data:
+        want.setdefault(k, [])
+        if v is not None:
+            want[k].append(((-1 if t is None else t, i), v))
+    want = Counter((k, min(x)[1] if x else None, max(x)[1] if x else None) for k, x in want.items())
+    for size in (0, 1 << 20):
+        out = dense_aggregate(df, ["k"], {"first": ("first", "v", ["t", "i"]), "n": ("sum", "v"), "last": ("last", "v", ["t", "i"])}, block=2, broadcast_bytes=size)
+        assert rows(out.select("k", "first", "last")) == want
+
+
 def test_dense_aggregate_of_nothing(spark):
     df = spark.createDataFrame([], "k string, v long")
     assert dense_aggregate(df, ["k"], {"s": ("sum", "v")}).collect() == []

@@ -54,9 +54,14 @@ def encode_keys(df: DataFrame, keys: list[str], entries: DataFrame, size: int, l
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def _scatter(kinds: dict[str, str]):
-    """Batches of (_block, _slot, measures) to one row for each touched slot. kinds: measure -> 'sum', 'min' or 'max'."""
+def _scatter(kinds: dict[str, str], orders: dict[str, int]):
+    """Batches of (_block, _slot, measures) to one row for each touched slot. kinds: measure -> 'sum', 'min', 'max', 'first' or 'last'.
+
+    orders: measure -> how many order columns follow it.
+    """
     names = list(kinds)
+    ranks = {n: [f"{n}_o{j}" for j in range(orders[n])] for n in names}
+    at_column = {n: 2 + sum(1 + orders[m] for m in names[:i]) for i, n in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[str, np.ndarray]] = {}
@@ -69,11 +74,11 @@ def _scatter(kinds: dict[str, str]):
                     if kinds[n] == "sum":
                         columns += [pa.array(arrays[f"{n}_hi"][slots]), pa.array(arrays[f"{n}_lo"][slots])]
                     else:
-                        columns.append(pa.array(arrays[n][slots], mask=~arrays[f"{n}_seen"][slots]))
+                        columns += [pa.array(arrays[c][slots], mask=~arrays[f"{n}_seen"][slots]) for c in (n, *ranks[n])]
                 yield pa.RecordBatch.from_arrays(columns, names=schema_names)
             held.clear()
 
-        schema_names = ["_block", "_slot", "_rows", *(c for n in names for c in ([f"{n}_hi", f"{n}_lo"] if kinds[n] == "sum" else [n]))]
+        schema_names = ["_block", "_slot", "_rows", *(c for n in names for c in ([f"{n}_hi", f"{n}_lo"] if kinds[n] == "sum" else [n, *ranks[n]]))]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -81,14 +86,16 @@ def _scatter(kinds: dict[str, str]):
             slot = batch.column(1).to_numpy(zero_copy_only=False)
             # every block's rows become one contiguous stretch
             order = np.argsort(block, kind="stable") if block[0] != block[-1] or (block != block[0]).any() else None
-            measures = []
-            for i, n in enumerate(names):
-                column = batch.column(2 + i)
+            measures, by = [], []
+            for n in names:
+                column = batch.column(at_column[n])
                 valid = np.asarray(column.is_valid())
                 measures.append((column.fill_null(0).to_numpy(zero_copy_only=False), valid))
+                by.append([batch.column(at_column[n] + 1 + j).to_numpy(zero_copy_only=False) for j in range(orders[n])])
             if order is not None:
                 block, slot = block[order], slot[order]
                 measures = [(v[order], ok[order]) for v, ok in measures]
+                by = [[o[order] for o in columns] for columns in by]
             edges = np.flatnonzero(np.diff(block)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(block)]):
                 b, at = int(block[lo]), slot[lo:hi]
@@ -99,10 +106,10 @@ def _scatter(kinds: dict[str, str]):
                 arrays = held[b]
                 width = int(at.max()) + 1
                 if width > len(arrays["_rows"]):
-                    _widen(arrays, names, kinds, max(width, 2 * len(arrays["_rows"])))
+                    _widen(arrays, names, kinds, ranks, max(width, 2 * len(arrays["_rows"])))
                 width = len(arrays["_rows"])
                 arrays["_rows"] += np.bincount(at, minlength=width)
-                for n, (values, valid) in zip(names, measures):
+                for n, (values, valid), ordered in zip(names, measures, by):
                     v, ok = values[lo:hi], valid[lo:hi]
                     v, where = v[ok], at[ok]
                     if kinds[n] == "sum":  # two halves, so that no sum of longs can overflow; the halves are exact in float64
@@ -110,6 +117,8 @@ def _scatter(kinds: dict[str, str]):
                         high = (v >> 31).astype(np.float64)
                         arrays[f"{n}_lo"] += np.bincount(where, low, minlength=width).astype(np.int64)
                         arrays[f"{n}_hi"] += np.bincount(where, high, minlength=width).astype(np.int64)
+                    elif kinds[n] in ("first", "last"):
+                        _pick(arrays, n, ranks[n], kinds[n] == "first", where, v, [o[lo:hi][ok] for o in ordered])
                     else:
                         (np.minimum if kinds[n] == "min" else np.maximum).at(arrays[n], where, v)
                         arrays[f"{n}_seen"][where] = True
@@ -118,40 +127,66 @@ def _scatter(kinds: dict[str, str]):
     return run
 
 
-def _widen(arrays: dict[str, np.ndarray], names: list[str], kinds: dict[str, str], width: int) -> None:
+def _pick(arrays: dict[str, np.ndarray], name: str, ranks: list[str], first: bool, where: np.ndarray, v: np.ndarray, ordered: list[np.ndarray]) -> None:
+    """Keep each slot's value of the first (or last) row by the order columns, then by value."""
+    if not len(where):
+        return
+    keys = [*ordered, v]
+    row = np.lexsort((*keys[::-1], where))
+    edge = where[row][1:] != where[row][:-1]
+    row = row[np.concatenate([[True], edge] if first else [edge, [True]])]
+    slots = where[row]
+    better, equal = np.zeros(len(slots), bool), np.ones(len(slots), bool)
+    for column, key in zip((*ranks, name), keys):
+        new, old = key[row], arrays[column][slots]
+        better |= equal & ((new < old) if first else (new > old))
+        equal &= new == old
+    better |= ~arrays[f"{name}_seen"][slots]
+    row, slots = row[better], slots[better]
+    for column, key in zip((*ranks, name), keys):
+        arrays[column][slots] = key[row]
+    arrays[f"{name}_seen"][slots] = True
+
+
+def _widen(arrays: dict[str, np.ndarray], names: list[str], kinds: dict[str, str], ranks: dict[str, list[str]], width: int) -> None:
     fresh = {"_rows": (0, np.int64)}
     for n in names:
         if kinds[n] == "sum":
             fresh |= {f"{n}_hi": (0, np.int64), f"{n}_lo": (0, np.int64)}
         else:
             info = np.iinfo(np.int64)
-            fresh |= {n: (info.max if kinds[n] == "min" else info.min, np.int64), f"{n}_seen": (False, bool)}
+            fresh |= {n: (info.max if kinds[n] == "min" else info.min, np.int64), f"{n}_seen": (False, bool)} | {c: (0, np.int64) for c in ranks[n]}
     for name, (start, kind) in fresh.items():
         old = arrays.get(name, np.zeros(0, kind))
         arrays[name] = np.concatenate([old, np.full(width - len(old), start, kind)])
 
 
-def dense_aggregate(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, str]] | None = None, *, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dense_aggregate(df: DataFrame, keys: list[str], measures: dict[str, tuple] | None = None, *, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(keys, rows, measures) for every key without a null part.
 
-    measures: name -> (kind, long column), kind being 'sum' (exact, DECIMAL(38,0)), 'min' or 'max' (long). Nulls add
-    nothing; a measure that is null in all rows of a key is null for min and max and 0 for sum. No rows give no rows;
-    other columns are ignored, whatever their names.
+    measures: name -> (kind, long column), kind being 'sum' (exact, DECIMAL(38,0)), 'min' or 'max' (long), or name ->
+    ('first' or 'last', long column, long columns that order rows, null before all). Nulls add nothing; a measure that is
+    null in all rows of a key is null, and 0 for sum. No rows give no rows; other columns are ignored, whatever their names.
     """
     measures = measures or {}
-    kinds = {n: kind for n, (kind, _) in measures.items()}
-    df = df.select(*keys, *(F.col(c).cast("long").alias(f"_m{i}") for i, (_, c) in enumerate(measures.values())))
+    kinds = {n: m[0] for n, m in measures.items()}
+    ranks = {n: list(m[2]) if len(m) > 2 else [] for n, m in measures.items()}
+    order = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    df = df.select(*keys, *(c for i, (n, m) in enumerate(measures.items()) for c in (F.col(m[1]).cast("long").alias(f"_m{i}"), *(order(o).alias(f"_m{i}_o{j}") for j, o in enumerate(ranks[n])))))
     entries, _, size = key_dictionary(df, keys, block)
-    coded = encode_keys(df, keys, entries, size, broadcast_bytes).select("_block", "_slot", *(F.col(f"_m{i}").alias(n) for i, n in enumerate(measures)))
+    coded = encode_keys(df, keys, entries, size, broadcast_bytes).select("_block", "_slot", *(c for i, n in enumerate(measures) for c in (F.col(f"_m{i}").alias(n), *(F.col(f"_m{i}_o{j}").alias(f"{n}_o{j}") for j in range(len(ranks[n]))))))
     fields = [("_block", T.IntegerType()), ("_slot", T.IntegerType()), ("_rows", T.LongType())]
     for n, kind in kinds.items():
-        fields += [(f"{n}_hi", T.LongType()), (f"{n}_lo", T.LongType())] if kind == "sum" else [(n, T.LongType())]
-    parts = coded.mapInArrow(_scatter(kinds), T.StructType([T.StructField(n, t) for n, t in fields]))
+        fields += [(f"{n}_hi", T.LongType()), (f"{n}_lo", T.LongType())] if kind == "sum" else [(c, T.LongType()) for c in (n, *(f"{n}_o{j}" for j in range(len(ranks[n]))))]
+    parts = coded.mapInArrow(_scatter(kinds, {n: len(r) for n, r in ranks.items()}), T.StructType([T.StructField(n, t) for n, t in fields]))
     half = T.DecimalType(38, 0)
     totals = [F.sum("_rows").alias("rows")]
     for n, kind in kinds.items():
         if kind == "sum":
             totals.append((F.sum(F.col(f"{n}_hi").cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.sum(F.col(f"{n}_lo").cast("decimal(20,0)"))).cast(half).alias(n))
+        elif kind in ("first", "last"):
+            seen = F.when(F.col(n).isNotNull(), F.struct(*(f"{n}_o{j}" for j in range(len(ranks[n]))), n))
+            totals.append((F.min if kind == "first" else F.max)(seen)[n].alias(n))
         else:
             totals.append((F.min if kind == "min" else F.max)(n).alias(n))
     summed = parts.groupBy("_block", "_slot").agg(*totals)

@@ -34,6 +34,15 @@ def p1_bars(spark: SparkSession, d: str) -> DataFrame:
     return out.select("instrument_id", "bar_start_us", F.col("rows").alias("n_trades"), "high_e8", "low_e8", F.col("volume_e8").cast("long"))
 
 
+def p1_ohlc(spark: SparkSession, d: str) -> DataFrame:
+    """p1_bars with the price of the first and the last trade, by event_time, sequence and delivery_id."""
+    at = F.unix_micros("event_time")
+    rows = table(spark, d, "market_trades").select("instrument_id", (at - F.pmod(at, F.lit(1800 * 10**6))).alias("bar_start_us"), at.alias("t"), "sequence", "delivery_id", fixed_e8(F.col("price")).alias("p"), fixed_e8(F.col("quantity")).alias("q"))
+    order = ["t", "sequence", "delivery_id"]
+    out = dense_aggregate(rows, ["instrument_id", "bar_start_us"], {"open_e8": ("first", "p", order), "high_e8": ("max", "p"), "low_e8": ("min", "p"), "close_e8": ("last", "p", order), "volume_e8": ("sum", "q")})
+    return out.select("instrument_id", "bar_start_us", F.col("rows").alias("n_trades"), "open_e8", "high_e8", "low_e8", "close_e8", F.col("volume_e8").cast("long"))
+
+
 def p1_partitions(spark: SparkSession, d: str) -> DataFrame:
     out = dense_aggregate(table(spark, d, "curated_partitions").withColumnRenamed("rows", "n"), ["instrument_id"], {"total_rows": ("sum", "n")})
     return out.select("instrument_id", F.col("rows").alias("n_partitions"), F.col("total_rows").cast("long"))
@@ -69,4 +78,4 @@ def p6_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.select("instrument_id", "session_id", "bar_start_us", "version", "sign", "trades", F.col("volume_e8").cast("long"), "close_sequence")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_bars, p1_partitions, p2_found, p3_found, p4_found, p5_found, p6_found, p6_deltas)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_bars, p1_ohlc, p1_partitions, p2_found, p3_found, p4_found, p5_found, p6_found, p6_deltas)}

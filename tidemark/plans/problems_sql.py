@@ -44,6 +44,11 @@ from market_trades where instrument_id is not null group by 1""",
     "p1_bars": f"""
 select instrument_id, epoch_us(event_time) - epoch_us(event_time) % 1800000000 as bar_start_us, count(*) as n_trades,
   max({_e8('price')}) as high_e8, min({_e8('price')}) as low_e8, cast(sum({_e8('quantity')}) as bigint) as volume_e8
+from market_trades where instrument_id is not null and event_time is not null group by 1, 2""",
+    "p1_ohlc": f"""
+select instrument_id, epoch_us(event_time) - epoch_us(event_time) % 1800000000 as bar_start_us, count(*) as n_trades,
+  arg_min({_e8('price')}, (epoch_us(event_time), sequence, delivery_id)) as open_e8, max({_e8('price')}) as high_e8, min({_e8('price')}) as low_e8,
+  arg_max({_e8('price')}, (epoch_us(event_time), sequence, delivery_id)) as close_e8, cast(sum({_e8('quantity')}) as bigint) as volume_e8
 from market_trades where instrument_id is not null and event_time is not null group by 1, 2""",
     "p1_partitions": """
 select instrument_id, count(*) as n_partitions, cast(sum("rows") as bigint) as total_rows
