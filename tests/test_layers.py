@@ -43,6 +43,22 @@ def test_products_and_hashes(spark):
     assert r.c == (crc - 2**32 if crc >= 2**31 else crc)
 
 
+def test_hashes_of_whole_documents(spark, tmp_path):
+    import hashlib
+
+    from tidemark.plans import layers
+
+    at = datetime(2024, 3, 4, 10, 0, 0, 123456, tzinfo=UTC)
+    base = (1, 'ä "quoted" \\ text\n/ 漢😀', "en", "s", 20, "i", at, at)
+    changed = [base, *[(*base[:i], v, *base[i + 1 :]) for i, v in enumerate((2, base[1][:-1] + "😁", "de", "t", 21, None, at + timedelta(microseconds=1), at - timedelta(microseconds=1)))]]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "instrument_id", "published_at", "available_at"]
+    df = spark.createDataFrame(changed, "doc_id long, text string, lang string, source string, n_chars long, instrument_id string, published_at timestamp, available_at timestamp")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    micros = lambda v: (v - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1) if isinstance(v, datetime) else v
+    want = {hashlib.sha256(json.dumps({k: micros(v) for k, v in zip(names, row)}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for row in changed}
+    assert {r.sha256 for r in layers.document_hashes(spark, str(tmp_path)).collect()} == want and len(want) == 9
+
+
 def test_instants(spark):
     texts = ["2024-03-04T10:00:00.123456789+02:00", "2024-03-04T10:00Z", "2024-03-04T10:00:00", "2024-03-04T10:00:00.1234567890Z", None, "2024-03-04 10:00:00.5-0530"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

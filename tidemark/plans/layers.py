@@ -22,6 +22,13 @@ def canonical_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", values.digest(["doc_id", "lang", "source", "n_chars"]).alias("sha256"))
 
 
+def document_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Hash of all columns of each document, its text included; times in microseconds."""
+    docs = table(spark, d, "documents")
+    whole = docs.withColumns({f.name: F.unix_micros(f.name) for f in docs.schema if f.dataType.typeName() == "timestamp"})
+    return whole.select("doc_id", values.digest(whole.columns).alias("sha256"))
+
+
 def rounded_rates(spark: SparkSession, d: str) -> DataFrame:
     rate = F.col("rate_text")
     return table(spark, d, "fx_rates").select("event_id", "observed_at", "captured_at", *[values.fixed_from_text(rate, 3, mode)["units"].alias(mode) for mode in ("floor", "ceiling", "half_up", "half_even", "down", "up")], values.fixed_from_text(rate, 8)["units"].alias("exact"))
@@ -123,7 +130,7 @@ def catalog_contiguity(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_hashes, rounded_rates, rate_nanos, next_weekdays, fixed_values, event_violations, delta_violations, normalized_streams, normalized_snapshot,
+        canonical_hashes, document_hashes, rounded_rates, rate_nanos, next_weekdays, fixed_values, event_violations, delta_violations, normalized_streams, normalized_snapshot,
         claim_shards, claim_conflicts, book_replay, intake_issues, rate_asof, sql_view, trade_bars_5m, partition_manifest, catalog_contiguity,
     )
 }
