@@ -227,3 +227,31 @@ def test_intervals_and_next_start(spark):
     points = spark.createDataFrame([("v", at(t)) for t in (0, 9, 10, 25)] + [("w", at(5))], "venue string, t timestamp")
     assert sorted((r.venue, r.t.minute, r.phase or "") for r in asof.interval_lookup(points, spans, "venue", "t", "opens_at", "closes_at", ["phase"]).collect()) == [("v", 0, "p"), ("v", 9, "p"), ("v", 10, ""), ("v", 25, "q"), ("w", 5, "")]
     assert sorted((r.t.minute, r.next_start.minute if r.next_start else -1) for r in asof.next_start(points.where("venue = 'v'"), spans, ["venue"], "t", "opens_at").collect()) == [(0, 0), (9, 20), (10, 20), (25, -1)]
+
+
+def test_hash_of_a_whole_table(spark, sf, tmp_path):
+    import hashlib
+    import json
+
+    from tidemark.plans import reference
+
+    def plain(v):
+        if isinstance(v, datetime):
+            return (v.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+        return v.isoformat() if isinstance(v, date) else v.asDict() if hasattr(v, "asDict") else v
+
+    t = spark.read.parquet(f"{sf}/market_trades.parquet")
+    nulls = t.limit(3).withColumns({c: F.lit(None).cast(t.schema[c].dataType) for c in ("price", "event_time", "trading_day", "event_id")})
+    whole = t.unionByName(t.limit(50)).unionByName(nulls).coalesce(1)  # repeats and nulls
+    whole.write.parquet(f"{tmp_path}/market_trades.parquet")
+    hashes = []
+    for r in spark.read.parquet(f"{tmp_path}/market_trades.parquet").collect():
+        text = json.dumps({c: plain(r[c]) for c in sorted(t.columns)}, separators=(",", ":"), ensure_ascii=False)
+        hashes.append(hashlib.sha256(text.encode()).hexdigest())
+    assert len(set(hashes)) < len(hashes)
+    want = {"rows": len(hashes)} | {f"h{i}": str(sum(int(h[i * 16 : i * 16 + 16], 16) for h in hashes)) for i in range(4)}
+    for i in range(8):
+        want[f"x{i}"] = 0
+        for h in hashes:
+            want[f"x{i}"] ^= int(h[i * 8 : i * 8 + 8], 16)
+    assert reference.trades_hash(spark, str(tmp_path)).first().asDict() == want

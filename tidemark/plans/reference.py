@@ -280,6 +280,13 @@ def multiset_hash(spark: SparkSession, d: str) -> DataFrame:
     return quality.multiset_hash(table(spark, d, "nation").select("n_name", "n_nationkey", "n_regionkey")).select("rows", *[F.col(f"h{i}").cast("string").alias(f"h{i}") for i in range(4)], "x0", "x7")
 
 
+def trades_hash(spark: SparkSession, d: str) -> DataFrame:
+    """multiset_hash of all columns of a large table with repeats, nulls and nested values; times in microseconds."""
+    t = table(spark, d, "market_trades")
+    whole = t.withColumns({f.name: F.unix_micros(f.name) for f in t.schema if f.dataType.typeName() == "timestamp"})
+    return quality.multiset_hash(whole).select("rows", *[F.col(f"h{i}").cast("string").alias(f"h{i}") for i in range(4)], *[f"x{i}" for i in range(8)])
+
+
 def session_lookup(spark: SparkSession, d: str) -> DataFrame:
     events = _events(spark, d)
     days = events.select(F.col("ts").cast("date").alias("day")).distinct()
@@ -317,6 +324,6 @@ QUERIES = {
         pit_join, pit_join_max_age, pit_audit, two_clock_asof, two_clock_max_age, bitemporal_join, bitemporal_conflicts, lifecycle_filter, latest_per_key, asof_view,
         fixed_bars_1h, session_bars, day_bars, count_bars, amount_bars, rolling_compound, total_return, forward_labels, ttm_facts, coverage_gaps, calendar_coverage,
         price_frame_stats, provider_compare, discrepancies, upsert_merged, upsert_revisions, version_diff, multiset_added, dup_events, dup_copies, sequence_gaps,
-        quarantined, event_union, look_through, impacted_nodes, unit_normalise, multiset_hash, session_lookup, next_open, settlement_t1, adjusted_prices, price_violations,
+        quarantined, event_union, look_through, impacted_nodes, unit_normalise, multiset_hash, trades_hash, session_lookup, next_open, settlement_t1, adjusted_prices, price_violations,
     )
 }
