@@ -12,7 +12,7 @@ from tidemark.operators.dyadic import FOREVER, as_known, disjoint, stab
 from tidemark.operators.equality_deletes import EqualityDeleteTable, books_at_end
 from tidemark.operators.history import attribute_history
 from tidemark.operators.skew import dense_aggregate, heavy_keys
-from tidemark.streaming.delivery import repeated_deliveries
+from tidemark.streaming.delivery import DeliveryLog, repeated_deliveries
 
 T0 = datetime(2024, 3, 4, 10, tzinfo=UTC)
 FP = "struct<units: bigint, scale: smallint>"
@@ -107,6 +107,34 @@ def test_repeated_deliveries_of_nothing(spark):
     assert rows(repeated_deliveries(one, two)) == Counter([(2,)])
 
 
+@pytest.mark.parametrize("lateness", ["1 minute", "1 day", "900 days"])
+def test_lateness_epochs_and_order_of_calls_change_no_result(spark, lateness):
+    """Copies of one message with event times that are null or far apart, one row a batch of Arrow, in one call or several."""
+    rnd = random.Random(8)
+    deliveries, sha = [], {}
+    for d in range(150):
+        message = rnd.randint(0, 40)
+        deliveries.append((d, f"m{message}", rnd.choice([None, *[at(rnd.randint(0, 60000))] * 6]), rnd.choice([None, *[at(rnd.randint(0, 60000))] * 6])))
+        sha[d] = f"{message % 3 + 1:x}"
+    deliveries += deliveries[:9]  # rows of the table twice are one delivery
+    schema = "delivery_id long, event_id string, event_time timestamp, received_at timestamp"
+    df = spark.createDataFrame(deliveries, schema)
+    claims = spark.createDataFrame(list(sha.items()), "delivery_id long, event_sha256 string")
+    want = Counter((d,) for d in brute_repeats(list(dict.fromkeys(deliveries)), sha))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert rows(repeated_deliveries(df, claims, lateness=lateness, epochs=6, buckets=1)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    log = DeliveryLog(spark, lateness=lateness, buckets=2)
+    for part in (2, 0, 1):  # later deliveries may have come in earlier
+        log = DeliveryLog(spark, log.path, lateness=lateness, buckets=2)
+        log.append(df.where(F.col("delivery_id") % 3 == part), claims, epochs=2)
+    assert rows(log.removed()) == want
+    log.append(df.limit(0), claims)
+    assert rows(log.removed()) == want
+
+
 # 3
 
 DELTA = f"instrument_id string, source string, session_id string, sequence long, side string, action string, price {FP}, quantity {FP}, event_id string"

@@ -54,6 +54,7 @@ from market_trades where instrument_id is not null and event_time is not null gr
 select instrument_id, count(*) as n_partitions, cast(sum("rows") as bigint) as total_rows
 from curated_partitions where instrument_id is not null group by 1""",
     "p2_found": P2 + "select delivery_id from ranked where n > 1",
+    "p2_incremental": P2 + "select delivery_id from ranked where n > 1",
     "p3_found": f"""
 with changes as (
   select distinct instrument_id, source, session_id, sequence, lower(trim(side)) as side,
