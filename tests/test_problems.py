@@ -7,7 +7,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.differential import counted_rows, period_deltas, present_state, restated_periods
+from tidemark.operators.differential import PeriodLog, counted_rows, period_deltas, present_state, restated_periods
 from tidemark.operators.dyadic import FOREVER, as_known, disjoint, stab
 from tidemark.operators.equality_deletes import EqualityDeleteTable, books_at_end
 from tidemark.operators.history import attribute_history
@@ -275,3 +275,24 @@ def test_restated_periods(spark):
     signs = Counter(r["sign"] for r in deltas.collect())
     assert signs[1] - signs[-1] == len(periods)
     assert restated_periods(df.limit(0)).collect() == []
+
+
+def test_restated_periods_batch_by_batch(spark):
+    """Rows of each tick taken up by a call of its own, null sequences and periods among them, and a state that was compacted."""
+    rnd = random.Random(16)
+    data = [(i, rnd.choice("ab"), rnd.choice(["s", None]), at(e := rnd.randint(0, 60)), at(e + rnd.choice([0, 40, 90, 150, 300])), rnd.choice([None, *range(5)]), (rnd.randint(1, 9), 1)) for i in range(200)]
+    counted = counted_rows(spark.createDataFrame(data, TRADE))
+    whole = period_deltas(counted)
+    assert min(r["close_sequence"] is not None and r["close_sequence"] for r in whole.collect()) >= 0
+    log = PeriodLog(spark)
+    for v in range(7):
+        PeriodLog(spark, log.path).take(counted.where(F.col("version") == v))
+    columns = [c for c in whole.columns if c != "close_sequence"]
+    assert rows(log.deltas().select(columns)) == rows(whole.select(columns))
+    before = rows(present_state(log.deltas()))
+    log.compact()
+    assert rows(present_state(log.deltas())) == before and log.deltas().where("sign < 0").isEmpty()
+    again = {k: v for k, v in ((tuple(r)[:3], r) for r in present_state(log.deltas()).collect())}
+    log.take(counted.where("version = 3"))  # other rows of these periods
+    for r in present_state(log.deltas()).collect():
+        assert r["trades"] >= again[tuple(r)[:3]]["trades"]

@@ -1,19 +1,26 @@
 """Per-period aggregates by event time, restated by retraction as late rows come in.
 
 Versions: 0 is what was known at first publication; later ones are ticks after it, up to the cut-off. A late tick emits
-the old aggregate with sign -1 and the new one with sign +1. Whatever is linear in the rows follows from the signed
-rows alone: the present state of a period is the signed sum over its versions.
+the old aggregate of each period it touches with sign -1 and the new one with sign +1. These signed rows are the state
+too: everything in them is linear, so the present state of a period is the signed sum over its versions, and a tick
+needs its own rows and the signed rows of the periods it touches, never the rows that came before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import fixed_e8
+from tidemark.sources.shared import file_system, shared_folder, written
 
 HALF_HOUR = 1800 * 10**6
 PERIOD = ["instrument_id", "session_id", "bar_start_us"]
+_STATE = "instrument_id string, session_id string, bar_start_us long, version int, sign int, trades long, volume_e8 decimal(38,0), close_us long, close_sequence long"
+_SUMS = ["trades", "volume_e8", "close_us", "close_sequence"]
+#: Stands for a null sequence, which is before all others.
+_NONE = -(1 << 62)
+_SIZE = str(1 << 64)
 
 
 def counted_rows(trades: DataFrame, *, width: int = HALF_HOUR, publish_after: int = 60 * 10**6, cut_off: int = 6 * 3600 * 10**6, tick: int = 3600 * 10**6) -> DataFrame:
@@ -29,30 +36,93 @@ def counted_rows(trades: DataFrame, *, width: int = HALF_HOUR, publish_after: in
     return rows.where(F.col("_known") <= F.col("bar_start_us") + (width + cut_off)).select(*PERIOD, version.cast("int").alias("version"), "event_us", "sequence", "quantity_e8")
 
 
-def period_deltas(counted: DataFrame) -> DataFrame:
-    """(period, version, sign, trades, volume_e8, close_sequence): signed changes of each period's aggregate.
-
-    The rows of a period and version are added up before they are shuffled; what then meets in one place is at most one
-    row for each version.
+def _whole(value: Column) -> Column:
+    return value.cast("decimal(20,0)")
+
+
+def tick_parts(counted: DataFrame) -> DataFrame:
+    """(period, version, trades, volume_e8, close_us, close_sequence) of the rows of each version, added up before the shuffle."""
+    size = _whole(F.lit(_SIZE))
+    close = (_whole(F.col("event_us")) * size + _whole(F.coalesce("sequence", F.lit(_NONE)))).cast("decimal(38,0)")  # one number, so that it is hash-aggregated
+    parts = counted.groupBy(*PERIOD, "version").agg(F.count("*").alias("trades"), F.sum(_whole(F.coalesce("quantity_e8", F.lit(0)))).cast("decimal(38,0)").alias("volume_e8"), F.max(close).alias("_close"))
+    low = F.pmod("_close", size)
+    sequence = F.when(low >= _whole(F.lit(str(1 << 63))), low - size).otherwise(low)
+    parts = parts.withColumn("close_sequence", sequence.cast("long"))
+    event = (F.col("_close") - _whole(F.col("close_sequence"))) / size
+    return parts.select(*PERIOD, "version", "trades", "volume_e8", F.round(event, 0).cast("long").alias("close_us"), "close_sequence")
+
+
+class PeriodLog:
+    """Signed rows under one path, a folder for each tick taken up; a path that is there already is continued."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or shared_folder(spark, "periods")
+        self.fs, at = file_system(spark, self.path)
+        self.fs.mkdirs(at)
+
+    def _ticks(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(file_system(self.spark, self.path)[1]) if s.getPath().getName().startswith("tick-"))
+
+    def deltas(self) -> DataFrame:
+        """(period, version, sign, trades, volume_e8, close_us, close_sequence) of all ticks so far."""
+        ticks = self._ticks()
+        return self.spark.read.schema(_STATE).parquet(*[f"{self.path}/{t}" for t in ticks]) if ticks else self.spark.createDataFrame([], _STATE)
+
+    def take(self, counted: DataFrame) -> None:
+        """Take up rows of ``counted_rows`` that came in since, tick by tick; rows taken up before are not read."""
+        parts = written(tick_parts(counted), "ticks", partition_by=("version",))
+        for r in parts.groupBy("version").agg(F.min("bar_start_us").alias("lo"), F.max("bar_start_us").alias("hi")).orderBy("version").collect():  # as many rows as ticks up to the cut-off
+            self._tick(parts.where(F.col("version") == r.version), r.lo, r.hi)
+
+    def _tick(self, new: DataFrame, lo: int, hi: int) -> None:
+        held = self.deltas().where(F.col("bar_start_us").between(lo, hi))
+        same = [F.col(f"h.{k}").eqNullSafe(F.col(f"n.{k}")) for k in PERIOD]
+        touched = present_state(held.alias("h").join(new.alias("n"), same, "left_semi"))
+        both = touched.select(*PERIOD, "version", *_SUMS, F.lit(True).alias("_old")).unionByName(new.select(*PERIOD, "version", *_SUMS, F.lit(False).alias("_old")))
+        old = lambda c: F.max(F.when(F.col("_old"), F.col(c)))  # noqa: E731  one row of either kind
+        own = lambda c: F.max(F.when(~F.col("_old"), F.col(c)))
+        at = both.groupBy(*PERIOD).agg(F.max("version").alias("version"), *[f(c).alias(f"{p}_{c}") for p, f in (("o", old), ("n", own)) for c in _SUMS])
+        later = F.col("o_close_us").isNull() | (F.col("n_close_us") > F.col("o_close_us")) | ((F.col("n_close_us") == F.col("o_close_us")) & (F.col("n_close_sequence") > F.col("o_close_sequence")))
+        plus = {c: F.col(f"n_{c}") + F.coalesce(F.col(f"o_{c}"), F.lit(0)) for c in ("trades", "volume_e8")} | {c: F.when(later, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) for c in ("close_us", "close_sequence")}
+        row = lambda sign, values: F.struct(F.lit(sign).alias("sign"), *[values[c].cast("decimal(38,0)" if c == "volume_e8" else "long").alias(c) for c in _SUMS])
+        signed = F.array_compact(F.array(F.when(F.col("o_trades").isNotNull(), row(-1, {c: F.col(f"o_{c}") for c in _SUMS})), row(1, plus)))
+        staged = f"{self.path}/.tick-{len(self._ticks()):06d}"
+        at.select(*PERIOD, "version", F.inline(signed)).write.mode("overwrite").option("compression", "zstd").parquet(staged)
+        self.fs.rename(file_system(self.spark, staged)[1], file_system(self.spark, staged.replace("/.tick-", "/tick-"))[1])  # lands as a whole
+
+    def compact(self) -> None:
+        """Put one row of sign +1 for each period in place of its signed rows so far: the state, without its history."""
+        ticks = self._ticks()
+        staged = f"{self.path}/.compacted"
+        present_state(self.deltas()).select(*PERIOD, "version", F.lit(1).alias("sign"), *_SUMS).write.mode("overwrite").parquet(staged)
+        # the new folder comes after the old ones went: a reader between the two sees no period twice
+        for t in ticks:
+            self.fs.rename(file_system(self.spark, f"{self.path}/{t}")[1], file_system(self.spark, f"{self.path}/.old-{t}")[1])
+        self.fs.rename(file_system(self.spark, staged)[1], file_system(self.spark, f"{self.path}/tick-000000")[1])
+
+
+def period_deltas(counted: DataFrame, path: str | None = None) -> DataFrame:
+    """(period, version, sign, trades, volume_e8, close_us, close_sequence): signed changes of each period's aggregate.
+
+    A tick's rows of one period are added up before they are shuffled, so a hot instrument is one row a period and tick.
+    A null sequence is before all others; a close that has none has close_sequence null.
     """
-    parts = counted.groupBy(*PERIOD, "version").agg(F.count("*").alias("trades"), F.sum(F.coalesce("quantity_e8", F.lit(0)).cast("decimal(38,0)")).alias("volume_e8"), F.max(F.struct("event_us", "sequence")).alias("_close"))
-    so_far = Window.partitionBy(*PERIOD).orderBy("version")
-    state = parts.select(*PERIOD, "version", F.struct(F.sum("trades").over(so_far).alias("trades"), F.sum("volume_e8").over(so_far).cast("decimal(38,0)").alias("volume_e8"), F.max("_close").over(so_far)["sequence"].alias("close_sequence")).alias("_new"))
-    state = state.withColumn("_old", F.lag("_new").over(so_far))
-    signed = F.array_compact(F.array(F.when(F.col("_old").isNotNull(), F.struct(F.lit(-1).alias("sign"), F.col("_old").alias("a"))), F.struct(F.lit(1).alias("sign"), F.col("_new").alias("a"))))
-    return state.select(*PERIOD, "version", F.inline(signed)).select(*PERIOD, "version", "sign", "a.*")
+    log = PeriodLog(counted.sparkSession, path)
+    log.take(counted)
+    return log.deltas().withColumn("close_sequence", F.nullif("close_sequence", F.lit(_NONE)))
 
 
 def present_state(deltas: DataFrame) -> DataFrame:
-    """(period, version, trades, volume_e8, close_sequence): what the signed rows add up to."""
-    total = lambda c: F.sum(F.col("sign") * F.col(c))
-    return deltas.groupBy(*PERIOD).agg(F.max("version").alias("version"), total("trades").alias("trades"), total("volume_e8").cast("decimal(38,0)").alias("volume_e8"), total("close_sequence").alias("close_sequence"))
+    """(period, version, trades, volume_e8, close_us, close_sequence): what the signed rows add up to."""
+    total = lambda c: F.sum(F.col("sign") * F.coalesce(c, F.lit(_NONE)) if c == "close_sequence" else F.col("sign") * F.col(c)).alias(c)
+    return deltas.groupBy(*PERIOD).agg(F.max("version").alias("version"), total("trades"), total("volume_e8").cast("decimal(38,0)").alias("volume_e8"), total("close_us"), total("close_sequence"))
 
 
-def restated_periods(trades: DataFrame, **limits: int) -> DataFrame:
+def restated_periods(trades: DataFrame, *, path: str | None = None, **limits: int) -> DataFrame:
     """(instrument_id, session_id, bar_start_us, close_sequence) of each period with a row known after first publication.
 
     trades: one row for each message. The close is the row of the latest event_time, of equals of the greatest
-    sequence. Restatement counts even if nothing was published before. Empty input gives no rows.
+    sequence. Restatement counts even if nothing was published before. Empty input gives no rows. path: a log to continue.
     """
-    return present_state(period_deltas(counted_rows(trades, **limits))).where("version > 0").select(*PERIOD, "close_sequence")
+    state = present_state(period_deltas(counted_rows(trades, **limits), path)).where("version > 0")
+    return state.select(*PERIOD, F.nullif("close_sequence", F.lit(_NONE)).alias("close_sequence"))
