@@ -89,6 +89,39 @@ def test_bitemporal(spark):
     assert Counter((r.instrument_id, r.observation_time, r.as_of, r.v) for r in got.collect()) == want
 
 
+def test_bitemporal_with_a_hot_key_copies_nulls_and_names(spark):
+    """Brute force over facts of one busy key, a key of two columns with nulls, names of the operator's own columns."""
+    rnd = random.Random(21)
+    day = lambda n: T0 + timedelta(days=n)
+    facts = [(rnd.choice(["hot"] * 9 + ["a", None]), rnd.choice(["x", None]), day(a := rnd.randint(0, 300)), rnd.choice([None, day(a + rnd.randint(0, 40))]), day(k := rnd.randint(0, 300)), rnd.choice([None, day(k + rnd.randint(0, 60))]), i) for i in range(120)]
+    facts += facts[:5]
+    schema = "start string, end string, effective_from timestamp, effective_to timestamp, available_at timestamp, superseded_at timestamp, node int"
+    df = spark.createDataFrame(facts, schema)
+    end = lambda t: t or datetime.max.replace(tzinfo=UTC)
+    order = sorted(facts, key=lambda f: (f[4], f[2], end(f[3]), end(f[5])))
+    want = Counter()
+    for i, (k1, k2, f, t, a, s, _) in enumerate(order):
+        live = lambda f, t, a, s: f < end(t) and a < end(s)
+        if live(f, t, a, s) and any(x[:2] == (k1, k2) and live(*x[2:6]) and a < end(x[5]) and x[2] < end(t) and f < end(x[3]) for x in order[:i]):
+            want[k1, k2, f, a] += 1
+    got = asof.bitemporal_conflicts(df, ["start", "end"])
+    assert Counter((r[0], r[1], r[2].astimezone(UTC), r[3].astimezone(UTC)) for r in got.collect()) == want
+    seen = [(i, "hot", "x", day(rnd.randint(-5, 320)), day(rnd.randint(0, 400))) for i in range(40)] + [(40, None, "x", day(9), day(9)), (41, "hot", None, day(9), day(9)), (42, "hot", "x", None, day(9))]
+    o = spark.createDataFrame(seen, "level int, start string, end string, observation_time timestamp, as_of timestamp")
+    found = Counter((r["level"], r["node"]) for r in asof.bitemporal_join(o, df, by=("start", "end"), check=False).collect())
+    expect = Counter()
+    for n, k1, k2, t, known in seen:
+        hits = [f[6] for f in facts if None not in (k1, k2, t) and f[:2] == (k1, k2) and f[2] <= t < end(f[3]) and f[4] <= known < end(f[5])]
+        expect.update((n, h) for h in hits or [None])
+    assert found == expect
+    one = spark.createDataFrame(facts[:1], schema)
+    there = spark.createDataFrame([(1, facts[0][0], "x", facts[0][2], facts[0][4])], o.schema)
+    if facts[0][3] and facts[0][3] > facts[0][2]:
+        assert asof.resolve_mapping(there.withColumn("end", F.lit(facts[0][1])), one, by=("start",), columns=["node"]).count() == 1
+    with pytest.raises(ValidationError):
+        asof.resolve_mapping(o, one, by=("start",), columns=["node"])
+
+
 def _trades(n, seed=5):
     rnd = random.Random(seed)
     return [("s", rnd.choice("ab"), date(2024, 1, 1), "x", at(rnd.randint(0, 300)), i, f"{i:04d}", rnd.randint(1, 50), rnd.randint(1, 9), at(400), at(401)) for i in range(n)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.checks import ValidationError, require_columns, strict
+from tidemark.operators.dyadic import FOREVER, stab
 
 #: Width of a slice in seconds.
 SLICE = 7 * 86400
@@ -95,39 +96,58 @@ def refuse_future(df: DataFrame, *, time: str = "date", available: str = "source
     return df
 
 
+def _micros(name: str, otherwise: int | None = None) -> Column:
+    us = F.unix_micros(F.col(name).cast("timestamp"))
+    return us if otherwise is None else F.coalesce(us, F.lit(otherwise))
+
+
 def bitemporal_conflicts(facts: DataFrame, keys: list[str], *, effective_from: str = "effective_from", effective_to: str = "effective_to", available: str = "available_at", superseded: str = "superseded_at") -> DataFrame:
     """(keys, effective_from, available_at): each fact that overlaps one of its key known before it (or at once) on both clocks.
 
-    Only facts that begin to be known before an earlier one of their key is superseded can conflict; two running
-    windows find them. The rest is a semi join on the key, which gives each fact once, however many it overlaps.
+    Of two facts that overlap, one begins while the other is valid; so the starts of either are looked up in the
+    validity of the other by dyadic nodes, and the clock of knowledge is compared for what meets there. A key with most
+    of the facts is spread over its cells of time. Copies of a fact overlap each other. Null keys are keys.
     """
-    end = lambda c: F.coalesce(F.col(c).cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))
-    rows = facts.select(*keys, F.col(effective_from).cast("timestamp").alias("_f"), end(effective_to).alias("_t"), F.col(available).cast("timestamp").alias("_a"), end(superseded).alias("_s"))
-    order = ["_a", "_f", "_t", "_s"]
-    by_known = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(by_known))
-    before = by_known.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_open", F.max("_s").over(before)).withColumn("_next", F.lead("_a").over(by_known))
-    later, earlier = rows.where("_a < _open").alias("r"), rows.where("_s > _next").alias("l")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    overlap = (F.col("l._n") < F.col("r._n")) & (F.col("r._a") < F.col("l._s")) & (F.col("l._f") < F.col("r._t")) & (F.col("r._f") < F.col("l._t"))
-    found = later.join(earlier, [*same, overlap], "left_semi")
-    return found.select(*keys, F.col("_f").alias("effective_from"), F.col("_a").alias("available_at"))
+    clocks = [_micros(effective_from).alias("f"), _micros(effective_to, FOREVER).alias("t"), _micros(available).alias("a"), _micros(superseded, FOREVER).alias("s")]
+    kinds = facts.groupBy(F.struct(*keys).alias("key"), *clocks).agg(F.count("*").alias("copies")).where("f < t and a < s")
+    side = lambda p: kinds.select(F.xxhash64(F.to_json("key", {"ignoreNullFields": "false"})).alias(f"{p}_h"), *[F.col(c).alias(f"{p}_{c}") for c in kinds.columns])
+    before = F.col("l_key").eqNullSafe(F.col("r_key")) & (F.struct("l_a", "l_f", "l_t", "l_s") < F.struct("r_a", "r_f", "r_t", "r_s")) & (F.col("r_a") < F.col("l_s"))
+    spans = lambda p: side(p).withColumnsRenamed({f"{p}_h": "h"}).withColumns({"start": F.col(f"{p}_f"), "end": F.col(f"{p}_t")})
+    points = lambda p: side(p).withColumnRenamed(f"{p}_h", "h")
+    columns = [f"r_{c}" for c in kinds.columns]
+    begun = stab(points("r"), spans("l"), "h", "r_f", how="left_semi", also=before).select(columns)
+    held = stab(points("l"), spans("r"), "h", "l_f", also=before).select(columns).distinct()
+    whole = begun.unionByName(held).distinct().withColumn("_n", F.col("r_copies"))
+    copied = kinds.where("copies > 1").select([F.col(c).alias(f"r_{c}") for c in kinds.columns]).withColumn("_n", F.col("r_copies") - 1)
+    found = whole.unionByName(copied).groupBy(*columns).agg(F.max("_n").alias("_n")).withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
+    return found.select("r_key.*", F.timestamp_micros("r_f").alias("effective_from"), F.timestamp_micros("r_a").alias("available_at"))
 
 
 def bitemporal_join(observations: DataFrame, facts: DataFrame, *, time: str = "observation_time", as_of: str = "as_of", by: tuple[str, ...] = ("instrument_id",), columns: list[str] | None = None, effective_from: str = "effective_from", effective_to: str = "effective_to", available: str = "available_at", superseded: str = "superseded_at", check: bool = True) -> DataFrame:
-    """The fact valid at ``time`` and known at ``as_of``, both half-open, null ends open. Several raise."""
+    """The fact valid at ``time`` and known at ``as_of``, both half-open, null ends open. Several raise.
+
+    Observations meet facts at the dyadic nodes of their validity, so a key with most of the rows is spread over its
+    cells of time; each comes out once, with nulls where it has no fact. Null keys and times find nothing.
+    """
     by = list(by)
     clocks = [effective_from, effective_to, available, superseded]
     columns = [c for c in facts.columns if c not in {*by, *clocks}] if columns is None else columns
     if check:
         strict(bitemporal_conflicts(facts, by, effective_from=effective_from, effective_to=effective_to, available=available, superseded=superseded), "ambiguous bitemporal facts")
-    f = facts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(clocks)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
-    o = observations
-    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(by)]
-    on += [F.col("_c0") <= F.col(time), F.col("_c1").isNull() | (F.col(time) < F.col("_c1")), F.col("_c2") <= F.col(as_of), F.col("_c3").isNull() | (F.col(as_of) < F.col("_c3"))]
-    joined = o.join(f, on, "left")
-    return joined.select(*o.columns, *[F.col(f"_v{i}").alias(c) for i, c in enumerate(columns)], F.col("_c0").alias("source_effective_from"), F.col("_c2").alias("source_available_at"))
+    key = lambda: F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by]), F.struct(*by))
+    made = {**{c: F.col(c) for c in columns}, "source_effective_from": F.col(effective_from), "source_available_at": F.col(available)}
+    f = facts.select(key().alias("_key"), _micros(effective_from).alias("start"), _micros(effective_to, FOREVER).alias("end"), _micros(available).alias("_a"), _micros(superseded, FOREVER).alias("_s"), F.struct(*[c.alias(n) for n, c in made.items()]).alias("_f"))
+    o = observations.select(key().alias("_key"), _micros(time).alias("_t"), _micros(as_of).alias("_known"), F.struct(*observations.columns).alias("_o"))
+    joined = stab(o, f, "_key", "_t", how="left", also=(F.col("_a") <= F.col("_known")) & (F.col("_known") < F.col("_s")))
+    return joined.select(*[F.col(f"_o.`{c}`") for c in observations.columns], *[F.col(f"_f.`{n}`") for n in made])
+
+
+def resolve_mapping(observations: DataFrame, mappings: DataFrame, **names) -> DataFrame:
+    """bitemporal_join that insists on exactly one mapping for each observation: none raises, as several do."""
+    columns = names.get("columns") or [c for c in mappings.columns if c not in observations.columns]
+    out = bitemporal_join(observations, mappings, **names)
+    strict(out.where("source_effective_from is null").select(*observations.columns), f"no mapping to {columns}")
+    return out
 
 
 def latest(df: DataFrame, keys: list[str], priority: list[str | Column]) -> DataFrame:

@@ -17,8 +17,12 @@ LEAF_BITS = 26
 #: Without end: beyond the years that a TIMESTAMP can hold.
 FOREVER = 1 << 60
 _LEVELS = 60 - LEAF_BITS + 1
-#: Nodes are broadcast up to this many rows (counted before use; a row is under 200 bytes), else both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Nodes are broadcast up to this many rows and bytes (both measured before use); beyond, points are routed by cells.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Sizes of a cell to choose from, in bits of microseconds: from some 6 years down to 4 minutes.
+CELLS = (47, 42, 37, 32, 28)
+#: Narrow nodes that a cell of a key should hold on average, at most.
+CELL_NODES = 64
 
 
 def interval_nodes(start: Column, end: Column) -> Column:
@@ -43,19 +47,61 @@ def _probe(points: DataFrame, time: str, levels: list[int]) -> DataFrame:
     return points.select("*", F.inline(nodes)) if levels else points.select("*", F.lit(0).alias("level"), F.lit(0).cast("long").alias("node")).limit(0)
 
 
-def stab(points: DataFrame, intervals: DataFrame, key: str, time: str, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _bytes(df: DataFrame) -> Column:
+    return sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+
+
+def _measured(nodes: DataFrame, key: str) -> tuple[int, int, list[int], int]:
+    """Rows, bytes, levels in use (35 at most) and the largest cell that holds few nodes of a key."""
+    narrow = lambda bits: F.col("level") < bits - LEAF_BITS
+    cell = lambda bits: F.when(narrow(bits), F.xxhash64(key, F.expr(f"shiftright(node, {bits - LEAF_BITS} - level)")))
+    found = nodes.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(_bytes(nodes)), F.lit(0)).alias("bytes"), F.array_sort(F.collect_set("level")).alias("levels"),
+        *[F.count_if(narrow(b)).alias(f"n{b}") for b in CELLS], *[F.approx_count_distinct(cell(b)).alias(f"c{b}") for b in CELLS],
+    ).first()
+    bits = next((b for b in CELLS if found[f"n{b}"] <= CELL_NODES * found[f"c{b}"]), CELLS[-1])
+    return found.rows, found.bytes, found.levels, bits
+
+
+def _cell_join(points: DataFrame, nodes: DataFrame, key: str, time: str, levels: list[int], bits: int, also: Column, how: str) -> DataFrame:
+    """Points and nodes meet at (key, cell), where node and ends are compared. A point is moved once, whatever the levels.
+
+    A node narrower than a cell lies in one. A wider one is looked up, level by level, for the cells that hold points.
+    """
+    up = bits - LEAF_BITS
+    at = F.shiftright(F.col(time), bits)
+    located = points.withColumn("_cell", at)
+    narrow = nodes.where(F.col("level") < up).withColumn("_cell", F.expr(f"shiftright(node, {up} - level)"))
+    wide = [k for k in levels if k >= up]
+    if wide:
+        cells = points.select(key, at.alias("_cell")).where(F.col("_cell").isNotNull()).distinct()
+        probes = cells.select("*", F.inline(F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.shiftright("_cell", k - up).alias("node")) for k in wide])))
+        narrow = narrow.unionByName(nodes.where(F.col("level") >= up).join(probes, [key, "level", "node"]))
+    there = narrow.withColumnsRenamed({key: "_nkey", "_cell": "_ncell"})
+    leaf = F.shiftright(F.col(time), LEAF_BITS)
+    on = (F.col(key) == F.col("_nkey")) & (F.col("_cell") == F.col("_ncell")) & (F.call_function("shiftright", leaf, F.col("level")) == F.col("node"))
+    on = on & (F.col("start") <= F.col(time)) & (F.col(time) < F.col("end")) & also
+    return located.join(there, on, how).drop("_cell", "_nkey", "_ncell", "level", "node")
+
+
+def stab(points: DataFrame, intervals: DataFrame, key: str, time: str, *, how: str = "inner", also: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Each point with each interval of its key that holds it: start <= time < end, in microseconds.
 
     points: key, time and other columns; intervals: key, start, end and other columns (names must not clash but for the
-    key). Points without key or time and intervals without key, or empty ones, match nothing.
+    key). Points without key or time and intervals without key, or empty ones, match nothing; with how 'left' points
+    without a match come out once, with 'left_semi' those with one. also: a further condition of a match.
     """
     usable = intervals.where(F.col(key).isNotNull() & (F.col("start") < F.col("end")))
     nodes = written(usable.select("*", F.inline(interval_nodes(F.col("start"), F.col("end")))), "nodes")
-    count, levels = nodes.agg(F.count("*"), F.array_sort(F.collect_set("level"))).first()  # levels: 35 at most
+    count, size, levels, bits = _measured(nodes, key)
+    small = count <= broadcast_rows and size <= BROADCAST_BYTES
+    also = F.lit(True) if also is None else also
+    if how != "inner" or not small:
+        # wide nodes are copied to the cells of points, whose number has no bound; so they are not broadcast
+        return _cell_join(points, nodes, key, time, levels or [], bits, also, how)
     probes = _probe(points.where(F.col(key).isNotNull() & F.col(time).isNotNull()), time, levels or [])
-    side = F.broadcast(nodes) if count <= broadcast_rows else nodes
-    joined = probes.join(side, [key, "level", "node"])
-    return joined.where((F.col("start") <= F.col(time)) & (F.col(time) < F.col("end"))).drop("level", "node")
+    joined = probes.join(F.broadcast(nodes), [key, "level", "node"])
+    return joined.where((F.col("start") <= F.col(time)) & (F.col(time) < F.col("end")) & also).drop("level", "node")
 
 
 def disjoint(intervals: DataFrame, key: str, rank: list[str], *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

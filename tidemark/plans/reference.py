@@ -66,6 +66,12 @@ def bitemporal_join(spark: SparkSession, d: str) -> DataFrame:
     return asof.bitemporal_join(observed, _versions(spark, d), by=("o_custkey",)).select("o_orderkey", "version")
 
 
+def mapping_resolver(spark: SparkSession, d: str) -> DataFrame:
+    """The one version of a customer at an order's day, as known then; none or several raise."""
+    observed = _orders(spark, d).select("o_orderkey", "o_custkey", F.date_add("day", 1).cast("timestamp").alias("observation_time"), F.date_add("day", 1).cast("timestamp").alias("as_of"))
+    return asof.resolve_mapping(observed, _versions(spark, d), by=("o_custkey",)).select("o_orderkey", "version")
+
+
 def bitemporal_conflicts(spark: SparkSession, d: str) -> DataFrame:
     v = _versions(spark, d)
     facts = v.select("o_custkey", "effective_from", F.date_add("effective_from", 90).cast("timestamp").alias("effective_to"), "available_at", F.date_add("effective_from", 120).cast("timestamp").alias("superseded_at"))
@@ -321,7 +327,7 @@ def price_violations(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pit_join, pit_join_max_age, pit_audit, two_clock_asof, two_clock_max_age, bitemporal_join, bitemporal_conflicts, lifecycle_filter, latest_per_key, asof_view,
+        pit_join, pit_join_max_age, pit_audit, two_clock_asof, two_clock_max_age, bitemporal_join, mapping_resolver, bitemporal_conflicts, lifecycle_filter, latest_per_key, asof_view,
         fixed_bars_1h, session_bars, day_bars, count_bars, amount_bars, rolling_compound, total_return, forward_labels, ttm_facts, coverage_gaps, calendar_coverage,
         price_frame_stats, provider_compare, discrepancies, upsert_merged, upsert_revisions, version_diff, multiset_added, dup_events, dup_copies, sequence_gaps,
         quarantined, event_union, look_through, impacted_nodes, unit_normalise, multiset_hash, trades_hash, session_lookup, next_open, settlement_t1, adjusted_prices, price_violations,

@@ -60,6 +60,9 @@ select count(*) as rows, count(seen) as matched_rows, count(*) filter (where see
     "bitemporal_join": _VERSIONS + """
 select o_orderkey, version from orders o left join v on o.o_custkey = v.o_custkey and v.day <= cast(o_orderdate as date) + 10
   and (until is null or cast(o_orderdate as date) + 10 < until) and v.day <= cast(o_orderdate as date) + 20""",
+    "mapping_resolver": _VERSIONS + """
+select o_orderkey, version from orders o join v on o.o_custkey = v.o_custkey and v.day <= cast(o_orderdate as date) + 1
+  and (until is null or cast(o_orderdate as date) + 1 < until)""",
     "bitemporal_conflicts": _VERSIONS + """
 select distinct b.o_custkey, epoch_us(cast(b.day as timestamp)) as from_us from one a join one b
   on a.o_custkey = b.o_custkey and a.day < b.day and b.day < a.day + 90 and b.day < a.day + 120""",
