@@ -169,6 +169,10 @@ def test_books_whatever_order_and_repetition(spark):
     table.append_changes(d.where("sequence % 2 = 1"))
     table.append_changes(d)
     assert rows(table.read()) == expected
+    table.compact()
+    assert rows(table.read()) == expected and len(table._commits()) == 1
+    table.append_changes(d.where("sequence % 3 = 0"))  # come again, too late
+    assert rows(table.read()) == expected
 
 
 def test_books_without_rows_or_levels(spark):

@@ -17,6 +17,28 @@ def fixed_e8(value: Column) -> Column:
     return F.when(scale <= 8, up).otherwise(F.call_function("div", units, down))
 
 
+def _whole(value: Column) -> Column:
+    return value.cast("decimal(20,0)")
+
+
+_SIZE = str(1 << 64)
+
+
+def packed(high: Column, low: Column) -> Column:
+    """Two longs as one decimal that orders like (high, low); high is within 2^62. Unlike a struct it can be hash-aggregated."""
+    return (_whole(high) * _whole(F.lit(_SIZE)) + _whole(low)).cast("decimal(38,0)")
+
+
+def packed_low(value: Column) -> Column:
+    size = _whole(F.lit(_SIZE))
+    low = F.pmod(value, size)
+    return F.when(low >= _whole(F.lit(str(1 << 63))), low - size).otherwise(low).cast("long")
+
+
+def packed_high(value: Column) -> Column:
+    return F.round((value - _whole(packed_low(value))) / _whole(F.lit(_SIZE)), 0).cast("long")
+
+
 def micros(instant: Column) -> Column:
     return F.unix_micros(instant)
 

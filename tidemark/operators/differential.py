@@ -8,10 +8,10 @@ needs its own rows and the signed rows of the periods it touches, never the rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed import fixed_e8
+from tidemark.functions.fixed import fixed_e8, packed, packed_high, packed_low
 from tidemark.sources.shared import file_system, shared_folder, written
 
 HALF_HOUR = 1800 * 10**6
@@ -20,7 +20,6 @@ _STATE = "instrument_id string, session_id string, bar_start_us long, version in
 _SUMS = ["trades", "volume_e8", "close_us", "close_sequence"]
 #: Stands for a null sequence, which is before all others.
 _NONE = -(1 << 62)
-_SIZE = str(1 << 64)
 
 
 def counted_rows(trades: DataFrame, *, width: int = HALF_HOUR, publish_after: int = 60 * 10**6, cut_off: int = 6 * 3600 * 10**6, tick: int = 3600 * 10**6) -> DataFrame:
@@ -36,20 +35,11 @@ def counted_rows(trades: DataFrame, *, width: int = HALF_HOUR, publish_after: in
     return rows.where(F.col("_known") <= F.col("bar_start_us") + (width + cut_off)).select(*PERIOD, version.cast("int").alias("version"), "event_us", "sequence", "quantity_e8")
 
 
-def _whole(value: Column) -> Column:
-    return value.cast("decimal(20,0)")
-
-
 def tick_parts(counted: DataFrame) -> DataFrame:
     """(period, version, trades, volume_e8, close_us, close_sequence) of the rows of each version, added up before the shuffle."""
-    size = _whole(F.lit(_SIZE))
-    close = (_whole(F.col("event_us")) * size + _whole(F.coalesce("sequence", F.lit(_NONE)))).cast("decimal(38,0)")  # one number, so that it is hash-aggregated
-    parts = counted.groupBy(*PERIOD, "version").agg(F.count("*").alias("trades"), F.sum(_whole(F.coalesce("quantity_e8", F.lit(0)))).cast("decimal(38,0)").alias("volume_e8"), F.max(close).alias("_close"))
-    low = F.pmod("_close", size)
-    sequence = F.when(low >= _whole(F.lit(str(1 << 63))), low - size).otherwise(low)
-    parts = parts.withColumn("close_sequence", sequence.cast("long"))
-    event = (F.col("_close") - _whole(F.col("close_sequence"))) / size
-    return parts.select(*PERIOD, "version", "trades", "volume_e8", F.round(event, 0).cast("long").alias("close_us"), "close_sequence")
+    close = packed(F.col("event_us"), F.coalesce("sequence", F.lit(_NONE)))
+    parts = counted.groupBy(*PERIOD, "version").agg(F.count("*").alias("trades"), F.sum(F.coalesce("quantity_e8", F.lit(0)).cast("decimal(20,0)")).cast("decimal(38,0)").alias("volume_e8"), F.max(close).alias("_close"))
+    return parts.select(*PERIOD, "version", "trades", "volume_e8", packed_high(F.col("_close")).alias("close_us"), packed_low(F.col("_close")).alias("close_sequence"))
 
 
 class PeriodLog:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.fixed import packed, packed_low
 from tidemark.functions.text import hex_number, trimmed
 from tidemark.sources.shared import file_system, shared_folder, written
 
@@ -93,9 +94,8 @@ def _streaming_conf(spark: SparkSession, partitions: int | None):
 
 
 def _rank() -> Column:
-    """received_at, then delivery_id, as one number that hash aggregation can hold."""
-    whole = lambda c: c.cast("decimal(20,0)")
-    return (whole(F.col("at")) * F.lit(str(1 << 64)).cast("decimal(20,0)") + whole(F.col("delivery_id"))).cast("decimal(38,0)")
+    """received_at, then delivery_id."""
+    return packed(F.col("at"), F.col("delivery_id"))
 
 
 class DeliveryLog:
@@ -172,9 +172,7 @@ class DeliveryLog:
         mine = settled.select(*_KEYS, "winner")
         beaten = others.join(mine, _KEYS).where("rank <> winner").select("delivery_id")
         twice = self.seen().select(*_KEYS, "delivery_id", rank).join(settled.where("times > 1").select(*_KEYS, "winner"), _KEYS).where("rank <> winner").select("delivery_id")
-        size = F.lit(str(1 << 64)).cast("decimal(20,0)")
-        low = F.pmod("first", size)
-        displaced = settled.where("times = 1 and first <> winner").select(F.when(low >= F.lit(str(1 << 63)).cast("decimal(20,0)"), low - size).otherwise(low).cast("long").alias("delivery_id"))
+        displaced = settled.where("times = 1 and first <> winner").select(packed_low(F.col("first")).alias("delivery_id"))
         return rows.where("lost").select("delivery_id").unionByName(beaten).unionByName(twice).unionByName(displaced).distinct()
 
 
