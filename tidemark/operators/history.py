@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import trimmed
+from tidemark.operators.dyadic import FOREVER, stab
+from tidemark.sources.shared import written
 
 #: Bits of a word of a bitmap.
 WORD = 62
+#: A slice of time, in bits of microseconds: some 13 days.
+SLICE_BITS = 40
 NUMBERS = ["price_tick", "lot_size", "commission_rate", "stamp_duty_rate", "price_limit_rate"]
 
 
@@ -29,29 +33,49 @@ def standing_records(records: DataFrame) -> DataFrame:
     """
     values = F.struct(F.upper(trimmed(F.col("venue"))).alias("venue"), *[_number(trimmed(F.col(c).cast("string"))).alias(c) for c in NUMBERS])
     rows = records.select(F.upper(trimmed(F.col("symbol"))).alias("symbol"), F.unix_micros("effective_from").alias("at"), F.unix_micros("available_at").alias("_known"), "record_id", values.alias("_values")).where("symbol <> '' and at is not null")
-    return rows.groupBy("symbol", "at").agg(F.max(F.struct("_known", "record_id", "_values")).alias("_r")).select("symbol", "at", "_r._values.*")
+    newest = Window.partitionBy("symbol", "at").orderBy(F.desc("_known"), F.desc("record_id"), F.desc("_values"))
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("symbol", "at", "_values.*")
 
 
-def presence(records: DataFrame, snapshot_times: list[int]) -> DataFrame:
+def snapshot_gaps(times: DataFrame) -> DataFrame:
+    """(_k, start, end, _missed): the time from each snapshot to the next one, which is _missed; null after the last.
+
+    times: distinct instants (at) of snapshots, one for each snapshot ever taken; only these are sorted in one place.
+    """
+    ends = times.select("at").unionByName(times.sparkSession.range(1).select(F.lit(FOREVER).alias("at")))
+    start = F.coalesce(F.lag("at").over(Window.orderBy("at")), F.lit(-FOREVER))
+    return ends.select(F.lit(1).alias("_k"), start.alias("start"), F.col("at").alias("end"), F.when(F.col("at") < FOREVER, F.col("at")).alias("_missed"))
+
+
+def _first_after(rows: DataFrame) -> DataFrame:
+    """rows with _next, the symbol's next instant. A symbol is cut into slices of time, whose first instants carry over."""
+    rows = rows.withColumn("_slice", F.shiftright("at", SLICE_BITS))
+    firsts = rows.groupBy("symbol", "_slice").agg(F.min("at").alias("at"))
+    beyond = firsts.select("symbol", "_slice", F.lead("at").over(Window.partitionBy("symbol").orderBy("_slice")).alias("_beyond"))
+    inside = F.lead("at").over(Window.partitionBy("symbol", "_slice").orderBy("at"))
+    return rows.withColumn("_next", inside).join(beyond, ["symbol", "_slice"]).withColumn("_next", F.coalesce("_next", "_beyond")).drop("_beyond", "_slice")
+
+
+def presence(records: DataFrame, times: DataFrame) -> DataFrame:
     """(symbol, at, ordinal, values): the instants of each symbol. values is null where a snapshot misses the symbol.
 
     Of the snapshots between two records only the first is an instant: one unset bit ends a run as well as many.
     """
-    times = F.array(*[F.lit(t).cast("long") for t in snapshot_times]) if snapshot_times else F.array().cast("array<long>")
-    by_time = Window.partitionBy("symbol").orderBy("at")
-    rows = records.select("symbol", "at", F.struct("venue", *NUMBERS).alias("values"))
-    follows = F.lead("at").over(by_time)
-    missed = F.get(F.filter(times, lambda t: t > F.col("at")), 0)
-    rows = rows.withColumn("_next", follows).withColumn("_missed", missed)
+    rows = _first_after(records.select("symbol", "at", F.struct("venue", *NUMBERS).alias("values")))
+    rows = stab(rows.withColumn("_k", F.lit(1)), snapshot_gaps(times), "_k", "at")
     gap = F.when(F.col("_missed") < F.coalesce("_next", F.lit((1 << 63) - 1)), F.struct(F.col("_missed").alias("at"), F.lit(None).cast(rows.schema["values"].dataType).alias("values")))
-    both = rows.select("symbol", F.explode(F.array_compact(F.array(F.struct("at", "values"), gap))).alias("_i")).select("symbol", "_i.*")
-    return both.withColumn("ordinal", F.row_number().over(by_time) - 1)
+    both = rows.select("symbol", F.explode(F.array_compact(F.array(F.struct("at", "values"), gap))).alias("_i")).select("symbol", "_i.*").withColumn("_slice", F.shiftright("at", SLICE_BITS))
+    counts = both.groupBy("symbol", "_slice").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("symbol").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.row_number().over(Window.partitionBy("symbol", "_slice").orderBy("at")) - 1
+    numbered = both.withColumn("ordinal", inside).join(counts.select("symbol", "_slice", F.coalesce(before, F.lit(0)).alias("_before")), ["symbol", "_slice"])
+    return numbered.select("symbol", "at", (F.col("ordinal") + F.col("_before")).alias("ordinal"), "values")
 
 
 def bitmaps(instants: DataFrame) -> DataFrame:
     """(symbol, values, word, bits) for each word with a bit."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ordinal", F.lit(WORD)))
-    return instants.where("values is not null").groupBy("symbol", "values", F.floor(F.col("ordinal") / WORD).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return instants.where("values is not null").groupBy("symbol", "values", F.call_function("div", F.col("ordinal"), F.lit(WORD)).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def runs(maps: DataFrame) -> DataFrame:
@@ -63,20 +87,23 @@ def runs(maps: DataFrame) -> DataFrame:
     ends = places(bits.bitwiseAND(F.bitwise_not(F.shiftright(bits, 1))))
     pairs = F.zip_with(starts, ends, lambda a, b: F.struct((a + F.col("word") * WORD).alias("first"), (b + F.col("word") * WORD).alias("last")))
     parts = maps.select("symbol", "values", F.inline(pairs))
+    # a run that ends inside a word is whole; those at a word's edges may go on in the next one
+    edge = (F.pmod("first", F.lit(WORD)) == 0) | (F.pmod("last", F.lit(WORD)) == WORD - 1)
     same = Window.partitionBy("symbol", "values").orderBy("first")
-    begins = (F.col("first") != F.lag("last").over(same) + 1) | F.lag("last").over(same).isNull()
-    chained = parts.withColumn("_run", F.sum(begins.cast("int")).over(same.rowsBetween(Window.unboundedPreceding, 0)))
-    return chained.groupBy("symbol", "values", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    before = F.lag("last").over(same)
+    chained = parts.where(edge).withColumn("_run", F.coalesce((F.col("first") != before + 1).cast("int"), F.lit(1))).withColumn("_run", F.sum("_run").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = chained.groupBy("symbol", "values", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    return parts.where(~edge).unionByName(joined)
 
 
 def attribute_history(records: DataFrame) -> DataFrame:
     """(symbol, venue, numbers, effective_from_us, effective_to_us): each version of each symbol; effective_to_us is 0 while current.
 
-    Snapshot times are all effective_from of kind snapshot. They are collected: one for each snapshot ever taken. No
-    records give no versions; repeated and reordered records change nothing.
+    Snapshot times are all effective_from of kind snapshot. No records give no versions; repeated and reordered records
+    change nothing. A symbol with most of the records is spread over its slices of time.
     """
-    times = sorted(r[0] for r in records.where("record_kind = 'snapshot' and effective_from is not null").select(F.unix_micros("effective_from")).distinct().collect())
-    instants = presence(standing_records(records), times)
+    times = records.where("record_kind = 'snapshot' and effective_from is not null").select(F.unix_micros("effective_from").alias("at")).distinct()
+    instants = written(presence(standing_records(records), times), "instants")
     spans = runs(bitmaps(instants))
     at = instants.select("symbol", "ordinal", "at")
     begun = spans.join(at.select("symbol", F.col("ordinal").alias("first"), F.col("at").alias("effective_from_us")), ["symbol", "first"])
