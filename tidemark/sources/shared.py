@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -16,9 +17,28 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset (local runs) a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below ``spark.checkpoint.dir``; only where that is unset and the master is local a folder of our own.
+
+    A cluster whose shared folder nobody named raises: its executors can't see a folder of the driver's machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(root or _own_folder()).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders handed out, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def clear_folders(spark: SparkSession) -> int:
+    """Delete the folders that this application's queries left; frames that read them, and logs without a path of their own, end with this."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        drop_folder(spark, path)
+    return len(made)
 
 
 def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
