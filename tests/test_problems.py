@@ -35,7 +35,7 @@ def test_dense_aggregate_equals_plain_grouping(spark):
     df = spark.createDataFrame(data, "k string, v long, _block long, rows long").repartition(5)
     measures = {"s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "n": ("sum", "rows")}
     want = df.where("k is not null").groupBy("k").agg(F.count("*").alias("c"), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")), F.min("v"), F.max("v"), F.sum(F.col("rows").cast("decimal(38,0)")))
-    for size in (1 << 25, 0):  # broadcast, and joined by salted key
+    for size in (1 << 25, 0):  # one dictionary, and one for each batch
         assert rows(dense_aggregate(df, ["k"], measures, block=2, broadcast_bytes=size)) == rows(want)
 
 
@@ -55,6 +55,16 @@ def test_first_and_last_of_keys(spark):
         assert rows(out.select("k", "first", "last")) == want
 
 
+def test_keys_beyond_one_dictionary(spark):
+    """Two key columns, one key with half of all rows, more keys than a batch has rows; no row of a key is moved before it is added up."""
+    df = spark.range(0, 200_000, 1, 6).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 60_001).cast("string"))).alias("_k1"), (F.col("id") % 3).cast("int").alias("b"), F.col("id").alias("v"))
+    got = dense_aggregate(df, ["_k1", "b"], {"s": ("sum", "v"), "last": ("last", "v", ["v"])}, broadcast_bytes=0)
+    want = df.groupBy("_k1", "b").agg(F.count("*").alias("rows"), F.sum("v").cast("decimal(38,0)").alias("s"), F.max("v").alias("last"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_dense_aggregate_of_nothing(spark):
     df = spark.createDataFrame([], "k string, v long")
     assert dense_aggregate(df, ["k"], {"s": ("sum", "v")}).collect() == []

@@ -2,7 +2,8 @@
 
 Keys are dictionary-encoded to (block, slot). Each input split, whatever keys it holds, is reduced to dense
 accumulator arrays with numpy; arrays of one block are added up in a distributed reduction. No row of a key is moved
-to a place that belongs to the key, so a hot key costs no task more than any other.
+to a place that belongs to the key, so a hot key costs no task more than any other. Keys too many for one dictionary
+are encoded batch by batch instead, and the batches' arrays are added up by key.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from tidemark.sources.shared import written
 
 #: Slots of a block: 4,096 keys times 8 bytes is 32 kB an array.
 BLOCK = 4096
-#: The dictionary is broadcast up to this many bytes (measured before use), else joined by salted shuffle.
+#: The dictionary is broadcast up to this many bytes (measured before use); beyond, each batch has a dictionary of its own.
 BROADCAST_BYTES = 32 << 20
 #: Blocks that a task holds before it hands them on.
 HELD_BLOCKS = 256
-SALTS = 64
 _LOW = (1 << 31) - 1
 
 
@@ -45,15 +45,6 @@ def _window(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def encode_keys(df: DataFrame, keys: list[str], entries: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Add _block and _slot; rows without an entry drop out. Beyond ``limit`` bytes rows meet entries by salted key."""
-    if size <= limit:
-        return df.join(F.broadcast(entries), keys)
-    salted = df.dropna(subset=keys).withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
-    copies = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
-
-
 def _scatter(kinds: dict[str, str], orders: dict[str, int]):
     """Batches of (_block, _slot, measures) to one row for each touched slot. kinds: measure -> 'sum', 'min', 'max', 'first' or 'last'.
 
@@ -127,6 +118,27 @@ def _scatter(kinds: dict[str, str], orders: dict[str, int]):
     return run
 
 
+def _scatter_by_batch(keys: int, kinds: dict[str, str], orders: dict[str, int]):
+    """Batches of (keys, measures) to one row for each key of a batch: keys that no worker could hold at once are encoded batch by batch."""
+    scatter = _scatter(kinds, orders)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            for column in batch.columns[:keys]:
+                parts = column.dictionary_encode()
+                code = np.unique(code * len(parts.dictionary) + parts.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]  # never more codes than rows
+            _, first, slot = np.unique(code, return_index=True, return_inverse=True)
+            coded = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(slot), np.int32)), pa.array(slot.astype(np.int32)), *batch.columns[keys:]], names=["_block", "_slot", *batch.schema.names[keys:]])
+            for out in scatter(iter([coded])):
+                own = [c.take(pa.array(first[out.column(1).to_numpy()])) for c in batch.columns[:keys]]
+                yield pa.RecordBatch.from_arrays([*own, *out.columns[2:]], names=[*batch.schema.names[:keys], *out.schema.names[2:]])
+
+    return run
+
+
 def _pick(arrays: dict[str, np.ndarray], name: str, ranks: list[str], first: bool, where: np.ndarray, v: np.ndarray, ordered: list[np.ndarray]) -> None:
     """Keep each slot's value of the first (or last) row by the order columns, then by value."""
     if not len(where):
@@ -174,11 +186,11 @@ def dense_aggregate(df: DataFrame, keys: list[str], measures: dict[str, tuple] |
     order = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
     df = df.select(*keys, *(c for i, (n, m) in enumerate(measures.items()) for c in (F.col(m[1]).cast("long").alias(f"_m{i}"), *(order(o).alias(f"_m{i}_o{j}") for j, o in enumerate(ranks[n])))))
     entries, _, size = key_dictionary(df, keys, block)
-    coded = encode_keys(df, keys, entries, size, broadcast_bytes).select("_block", "_slot", *(c for i, n in enumerate(measures) for c in (F.col(f"_m{i}").alias(n), *(F.col(f"_m{i}_o{j}").alias(f"{n}_o{j}") for j in range(len(ranks[n]))))))
-    fields = [("_block", T.IntegerType()), ("_slot", T.IntegerType()), ("_rows", T.LongType())]
+    inputs = [c for i, n in enumerate(measures) for c in (F.col(f"_m{i}").alias(n), *(F.col(f"_m{i}_o{j}").alias(f"{n}_o{j}") for j in range(len(ranks[n]))))]
+    fields = [("_rows", T.LongType())]
     for n, kind in kinds.items():
         fields += [(f"{n}_hi", T.LongType()), (f"{n}_lo", T.LongType())] if kind == "sum" else [(c, T.LongType()) for c in (n, *(f"{n}_o{j}" for j in range(len(ranks[n]))))]
-    parts = coded.mapInArrow(_scatter(kinds, {n: len(r) for n, r in ranks.items()}), T.StructType([T.StructField(n, t) for n, t in fields]))
+    counts, made = {n: len(r) for n, r in ranks.items()}, [T.StructField(n, t) for n, t in fields]
     half = T.DecimalType(38, 0)
     totals = [F.sum("_rows").alias("rows")]
     for n, kind in kinds.items():
@@ -189,9 +201,16 @@ def dense_aggregate(df: DataFrame, keys: list[str], measures: dict[str, tuple] |
             totals.append((F.min if kind == "first" else F.max)(seen)[n].alias(n))
         else:
             totals.append((F.min if kind == "min" else F.max)(n).alias(n))
+    if size > broadcast_bytes:
+        named = {k: f"_k{i}" for i, k in enumerate(keys)}
+        rows = df.dropna(subset=keys).select(*[F.col(k).alias(a) for k, a in named.items()], *inputs)
+        whole = T.StructType([T.StructField(a, df.schema[k].dataType) for k, a in named.items()] + made)
+        summed = rows.mapInArrow(_scatter_by_batch(len(keys), kinds, counts), whole).groupBy(*named.values()).agg(*totals)
+        return summed.select(*[F.col(a).alias(k) for k, a in named.items()], "rows", *kinds)
+    coded = df.join(F.broadcast(entries), keys).select("_block", "_slot", *inputs)
+    parts = coded.mapInArrow(_scatter(kinds, counts), T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("_slot", T.IntegerType()), *made]))
     summed = parts.groupBy("_block", "_slot").agg(*totals)
-    back = F.broadcast(entries) if size <= broadcast_bytes else entries
-    return summed.join(back, ["_block", "_slot"]).select(*keys, "rows", *kinds)
+    return summed.join(F.broadcast(entries), ["_block", "_slot"]).select(*keys, "rows", *kinds)
 
 
 def heavy_keys(df: DataFrame, group: str, key: str, share: float = 0.03) -> DataFrame:
