@@ -57,11 +57,24 @@ def delta_violations(spark: SparkSession, d: str) -> DataFrame:
     return schemas.record_violations(rows, "book_delta", ["source"]).groupBy("source", "rule").agg(F.count("*").alias("n"))
 
 
-def normalized_streams(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each source that a strict load would keep, and those whose stream it would quarantine."""
+def _by_source(df: DataFrame, part: str) -> DataFrame:
+    return df.groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit(part).alias("part"), "n")
+
+
+def normalized_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each source that a load keeps, and those that it rejects: sequences are checked as rows came in, a repeated event_id takes out its own rows."""
     good, bad = lake.check_events(table(spark, d, "market_trades"), "trade")
-    count = lambda df, part: df.groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit(part).alias("part"), "n")
-    return count(good, "kept").unionByName(count(bad, "rejected"))
+    return _by_source(good, "kept").unionByName(_by_source(bad, "rejected"))
+
+
+def normalized_streams(spark: SparkSession, d: str) -> DataFrame:
+    """As normalized_arrivals for a feed that is sorted by sequence first and loaded by whole streams only: one rejected row keeps out its stream."""
+    rows = table(spark, d, "market_trades").withColumn("in_sequence", F.col("sequence"))
+    _, bad = lake.check_events(rows, "trade", arrival="in_sequence")
+    streams = bad.select(*lake.STREAM).distinct().withColumn("_out", F.lit(True))
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}")) for k in lake.STREAM]
+    whole = rows.alias("e").join(streams.alias("s"), same, "left").select("e.*", "_out")
+    return _by_source(whole.where("_out is null"), "kept").unionByName(_by_source(whole.where("_out"), "rejected"))
 
 
 def normalized_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +143,7 @@ def catalog_contiguity(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_hashes, document_hashes, rounded_rates, rate_nanos, next_weekdays, fixed_values, event_violations, delta_violations, normalized_streams, normalized_snapshot,
+        canonical_hashes, document_hashes, rounded_rates, rate_nanos, next_weekdays, fixed_values, event_violations, delta_violations, normalized_streams, normalized_arrivals, normalized_snapshot,
         claim_shards, claim_conflicts, book_replay, intake_issues, rate_asof, sql_view, trade_bars_5m, partition_manifest, catalog_contiguity,
     )
 }

@@ -54,6 +54,11 @@ with t as (select *, ({_BAD_TRADE}) as bad, count(*) over (partition by event_id
   coalesce(sequence <= lag(sequence) over (partition by source, instrument_id, session_id order by sequence), false) as back from market_trades),
 s as (select source, instrument_id, session_id, bool_or(bad or twice or back) as bad, count(*) as n from t group by 1, 2, 3)
 select source, case when bad then 'rejected' else 'kept' end as part, cast(sum(n) as bigint) as n from s group by 1, 2""",
+    "normalized_arrivals": f"""
+with t as (select *, ({_BAD_TRADE}) as bad, event_id is not null and count(*) over (partition by event_id) > 1 as twice,
+  coalesce(sequence <= lag(sequence) over (partition by source, instrument_id, session_id order by delivery_id), false) as back from market_trades),
+s as (select *, bool_or(bad or back) over (partition by source, instrument_id, session_id) as broken from t)
+select source, case when broken or twice then 'rejected' else 'kept' end as part, count(*) as n from s group by 1, 2""",
     "normalized_snapshot": f"""
 with one as (select distinct instrument_id, source, session_id, sequence, {_e8('quantity')} as q from book_deltas)
 select instrument_id, source, session_id, count(*) as n, max(sequence) as last, cast(sum(q) as bigint) as quantity_e8 from one group by 1, 2, 3""",
