@@ -143,7 +143,7 @@ def test_a_book_without_its_repeated_ids_is_checked_again(spark):
     assert {r.event_id + r.source: r.reasons for r in bad.collect()} == {"e13ends": ["repeated_event_id"], "e3breaks": ["sequence"], "e13breaks": ["repeated_event_id", "sequence"], "e23breaks": ["sequence"]}
 
 
-def test_normalized_streams_against_plain_python(spark, sf):
+def test_normalized_arrivals_against_plain_python(spark, sf):
     import duckdb
 
     from tidemark.plans import layers, layers_sql
@@ -157,7 +157,7 @@ def test_normalized_streams_against_plain_python(spark, sf):
         else:
             last[key] = sequence
     want = Counter((r[0], "rejected" if tuple(r[:3]) in broken or copies[r[4]] > 1 else "kept") for r in rows)
-    assert {(r.source, r.part): r.n for r in layers.normalized_streams(spark, sf).collect()} == want
+    assert {(r.source, r.part): r.n for r in layers.normalized_arrivals(spark, sf).collect()} == want
 
 
 def test_book_rules(spark):

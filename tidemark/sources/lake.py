@@ -21,7 +21,7 @@ from tidemark.operators import book
 from tidemark.operators.checks import ValidationError, duplicates, strict, violations
 from tidemark.operators.quality import sequence_breaks
 from tidemark.sources.schemas import conform, rules, schema
-from tidemark.sources.shared import drop_folder, file_system, written
+from tidemark.sources.shared import drop_folder, file_system, move_into_place, written
 
 STREAM = ["source", "instrument_id", "session_id"]
 #: Columns that number rows as they came in; the first one that all frames have is the order of arrival.
@@ -51,7 +51,7 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 def content_id(df: DataFrame) -> str:
     """sha256- and the first 16 digits of a hash of the rows, whatever their order, and of the schema."""
-    return _content(df)[0]
+    return _identity(_sums(df, ()), df.schema)[0]
 
 
 def _cell(value: Column, kind: T.DataType) -> Column:
@@ -72,39 +72,47 @@ def _cell(value: Column, kind: T.DataType) -> Column:
     return F.when(value.isNull(), "-").otherwise(text)
 
 
-def _content(df: DataFrame) -> tuple[str, int]:
-    """Id and number of rows, in one pass: SHA-256 of each row, four 64-bit parts drawn from it, their sums."""
-    fields = sorted(df.schema, key=lambda f: f.name)
-    row = F.sha2(F.concat(*[_cell(F.col(f.name), f.dataType) for f in fields]), 256)
-    sums = [F.sum(F.xxhash64(F.lit(i), "_h").cast("decimal(20,0)")) for i in range(4)]
-    values = df.select(row.alias("_h")).agg(F.count("*").alias("rows"), *sums).first()
-    kind = json.dumps([[f.name, f.dataType.simpleString()] for f in fields])
-    return "sha256-" + hashlib.sha256((kind + json.dumps([str(x) for x in values])).encode()).hexdigest()[:16], values.rows
+_PARTS = [f"s{i}" for i in range(4)]
+
+
+def _sums(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, rows, sums) in one pass: SHA-256 of each row, four 64-bit parts drawn from it, added up for each partition."""
+    row = F.sha2(F.concat(*[_cell(F.col(f.name), f.dataType) for f in sorted(df.schema, key=lambda f: f.name)]), 256)
+    sums = [F.sum(F.xxhash64(F.lit(i), "_h").cast("decimal(20,0)")).cast("decimal(38,0)").alias(p) for i, p in enumerate(_PARTS)]
+    return df.select(*by, row.alias("_h")).groupBy(*by).agg(F.count("*").alias("rows"), *sums)
+
+
+def _identity(sums: DataFrame, kind: T.StructType) -> tuple[str, int]:
+    """Id and number of rows of what all partitions add up to."""
+    total = sums.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.sum(p).cast("decimal(38,0)").alias(p) for p in _PARTS]).first()
+    text = json.dumps([[f.name, f.dataType.simpleString()] for f in sorted(kind, key=lambda f: f.name)])
+    values = [total.rows, *[total[p] for p in _PARTS]]
+    return "sha256-" + hashlib.sha256((text + json.dumps([str(x) for x in values])).encode()).hexdigest()[:16], total.rows
 
 
 def write_snapshot(df: DataFrame, root: str, *, manifest: dict | None = None, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), allow_empty: bool = False) -> str:
-    """Id of a snapshot of df under root. The rows are written once; hashing reads what was written."""
+    """Id of a snapshot of df under root. The rows are written once; hashing reads what was written, partition by partition.
+
+    Rows are gathered by partition, and a partition that holds much more than others is written by several tasks, as
+    several files, each sorted.
+    """
     spark = df.sparkSession
     staging = f"{root}/.staging-{uuid.uuid4().hex}"
-    rows = df
-    if partition_by:
-        rows = rows.repartition(*[F.col(c) for c in (*partition_by,)]) if not sort_by else rows.repartition(*partition_by).sortWithinPartitions(*partition_by, *sort_by)
-    elif sort_by:
-        rows = rows.sortWithinPartitions(*sort_by)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    if sort_by:
+        rows = rows.sortWithinPartitions(*partition_by, *sort_by)
     writer = rows.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{staging}/data")
     back = _data(spark, f"{staging}/data", df.schema)
-    name, count = _content(back)
+    _sums(back, partition_by).write.parquet(f"{staging}/sums")
+    name, count = _identity(_stored_sums(spark, staging, df.schema, partition_by), df.schema)
     if not count and not allow_empty:
         drop_folder(spark, staging)
         raise ValidationError("an empty snapshot")
     facts = {"id": name, "rows": count, "schema": json.loads(df.schema.json()), "partition_by": list(partition_by), **(manifest or {})}
     _put_text(spark, f"{staging}/manifest.json", json.dumps(facts, sort_keys=True, default=str))
-    fs, place = file_system(spark, f"{root}/{name}")
-    if fs.exists(place):
+    if not move_into_place(spark, staging, f"{root}/{name}"):  # the same content is there
         drop_folder(spark, staging)
-    else:
-        fs.rename(file_system(spark, staging)[1], place)
     return name
 
 
@@ -112,19 +120,42 @@ def _data(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in kind])).parquet(path).select(*kind.names)
 
 
+def _stored_sums(spark: SparkSession, place: str, kind: T.StructType, by: tuple[str, ...]) -> DataFrame:
+    fields = [T.StructField(c, kind[c].dataType) for c in by] + [T.StructField("rows", T.LongType())] + [T.StructField(p, T.DecimalType(38, 0)) for p in _PARTS]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{place}/sums")
+
+
 def manifest_of(spark: SparkSession, root: str, name: str) -> dict:
     return json.loads(_read_text(spark, f"{root}/{name}/manifest.json"))
 
 
-def read_snapshot(spark: SparkSession, root: str, name: str, *, verify: bool = True, columns: list[str] | None = None) -> DataFrame:
-    """The rows of an explicit snapshot; ``verify`` counts and hashes them first. Columns and filters reach the files."""
+def read_snapshot(spark: SparkSession, root: str, name: str, *, verify: bool = True, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
+    """The rows of an explicit snapshot, of its partitions for which ``where`` holds (a condition on partition columns).
+
+    ``verify`` counts and hashes them first, and no others. Columns and further filters reach the files.
+    """
     facts = manifest_of(spark, root, name)
-    rows = _data(spark, f"{root}/{name}/data", T.StructType.fromJson(facts["schema"]))
-    if verify and content_id(rows) != name:
+    kind, by = T.StructType.fromJson(facts["schema"]), tuple(facts["partition_by"])
+    rows, sums = _data(spark, f"{root}/{name}/data", kind), _stored_sums(spark, f"{root}/{name}", kind, by)
+    if verify and _identity(sums, kind)[0] != name:
+        raise ValidationError(f"content of {name} has changed")
+    if where:
+        rows, sums = rows.where(where), _chosen(sums, by, where)
+    if verify and not _differing(sums, _sums(rows, by)).isEmpty():
         raise ValidationError(f"content of {name} has changed")
     return rows.select(*columns) if columns else rows
 
 
+def _chosen(sums: DataFrame, by: tuple[str, ...], where: str) -> DataFrame:
+    sums.select(*by).where(where)  # raises if another column is named
+    return sums.where(where)
+
+
+def _differing(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows that only one of two frames holds; null equals null."""
+    return one.exceptAll(other).unionByName(other.exceptAll(one))
+
+
 def query_snapshot(rows: DataFrame, *, columns: list[str] | None = None, start=None, end=None, symbols: list[str] | None = None, as_of=None, date: str = "date", symbol: str = "symbol", available: str = "available_at") -> DataFrame:
     """Projection and filters: dates inclusive, symbols in a set (an empty one selects nothing), known at as_of."""
     if start is not None:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -64,5 +65,23 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def move_into_place(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; false, and nothing moved, where the target exists: another writer was first.
+
+    FileSystem.rename would put the folder inside the target then.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(source), at, none)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    return True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

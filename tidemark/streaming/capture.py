@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.sources.shared import file_system
+from tidemark.sources.shared import drop_folder, file_system, move_into_place
 
 # States of a feed, and where each may go.
 STATES = ("CONNECTING", "BUFFERING", "SNAPSHOT_SYNC", "LIVE", "RESYNC", "PAUSED")
@@ -113,7 +113,8 @@ def publish_each_batch_once(root: str, transform: Callable[[DataFrame], DataFram
             return
         staging = f"{root}/.batch-{number}"
         transform(batch).write.mode("overwrite").parquet(staging)
-        fs.rename(file_system(spark, staging)[1], place)
+        if not move_into_place(spark, staging, f"{root}/batch={number:020d}"):  # another attempt was first
+            drop_folder(spark, staging)
 
     return publish
 
