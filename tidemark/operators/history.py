@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import trimmed
-from tidemark.operators.dyadic import FOREVER, stab
 from tidemark.sources.shared import written
 
 #: Bits of a word of a bitmap.
@@ -37,14 +36,16 @@ def standing_records(records: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("symbol", "at", "_values.*")
 
 
-def snapshot_gaps(times: DataFrame) -> DataFrame:
-    """(_k, start, end, _missed): the time from each snapshot to the next one, which is _missed; null after the last.
+def snapshot_slices(records: DataFrame) -> DataFrame:
+    """(_slice, _times, _later): for each slice of time with records its snapshot times, and the first one beyond it.
 
-    times: distinct instants (at) of snapshots, one for each snapshot ever taken; only these are sorted in one place.
+    One row a slice, with one number for each snapshot ever taken; only slices are sorted in one place.
     """
-    ends = times.select("at").unionByName(times.sparkSession.range(1).select(F.lit(FOREVER).alias("at")))
-    start = F.coalesce(F.lag("at").over(Window.orderBy("at")), F.lit(-FOREVER))
-    return ends.select(F.lit(1).alias("_k"), start.alias("start"), F.col("at").alias("end"), F.when(F.col("at") < FOREVER, F.col("at")).alias("_missed"))
+    at = F.unix_micros("effective_from")
+    known = records.where("effective_from is not null").select(F.shiftright(at, SLICE_BITS).alias("_slice"), F.when(F.col("record_kind") == "snapshot", at).alias("at")).distinct()
+    by_slice = known.groupBy("_slice").agg(F.sort_array(F.collect_set("at")).alias("_times"), F.min("at").alias("_first"))
+    beyond = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    return by_slice.select("_slice", "_times", F.min("_first").over(beyond).alias("_later"))
 
 
 def _first_after(rows: DataFrame) -> DataFrame:
@@ -53,16 +54,16 @@ def _first_after(rows: DataFrame) -> DataFrame:
     firsts = rows.groupBy("symbol", "_slice").agg(F.min("at").alias("at"))
     beyond = firsts.select("symbol", "_slice", F.lead("at").over(Window.partitionBy("symbol").orderBy("_slice")).alias("_beyond"))
     inside = F.lead("at").over(Window.partitionBy("symbol", "_slice").orderBy("at"))
-    return rows.withColumn("_next", inside).join(beyond, ["symbol", "_slice"]).withColumn("_next", F.coalesce("_next", "_beyond")).drop("_beyond", "_slice")
+    return rows.withColumn("_next", inside).join(beyond, ["symbol", "_slice"]).withColumn("_next", F.coalesce("_next", "_beyond")).drop("_beyond")
 
 
-def presence(records: DataFrame, times: DataFrame) -> DataFrame:
+def presence(records: DataFrame, slices: DataFrame) -> DataFrame:
     """(symbol, at, ordinal, values): the instants of each symbol. values is null where a snapshot misses the symbol.
 
     Of the snapshots between two records only the first is an instant: one unset bit ends a run as well as many.
     """
     rows = _first_after(records.select("symbol", "at", F.struct("venue", *NUMBERS).alias("values")))
-    rows = stab(rows.withColumn("_k", F.lit(1)), snapshot_gaps(times), "_k", "at")
+    rows = rows.join(slices, "_slice").withColumn("_missed", F.coalesce(F.get(F.filter("_times", lambda t: t > F.col("at")), 0), "_later"))
     gap = F.when(F.col("_missed") < F.coalesce("_next", F.lit((1 << 63) - 1)), F.struct(F.col("_missed").alias("at"), F.lit(None).cast(rows.schema["values"].dataType).alias("values")))
     both = rows.select("symbol", F.explode(F.array_compact(F.array(F.struct("at", "values"), gap))).alias("_i")).select("symbol", "_i.*").withColumn("_slice", F.shiftright("at", SLICE_BITS))
     counts = both.groupBy("symbol", "_slice").agg(F.count("*").alias("_n"))
@@ -102,8 +103,7 @@ def attribute_history(records: DataFrame) -> DataFrame:
     Snapshot times are all effective_from of kind snapshot. No records give no versions; repeated and reordered records
     change nothing. A symbol with most of the records is spread over its slices of time.
     """
-    times = records.where("record_kind = 'snapshot' and effective_from is not null").select(F.unix_micros("effective_from").alias("at")).distinct()
-    instants = written(presence(standing_records(records), times), "instants")
+    instants = written(presence(standing_records(records), snapshot_slices(records)), "instants")
     spans = runs(bitmaps(instants))
     at = instants.select("symbol", "ordinal", "at")
     begun = spans.join(at.select("symbol", F.col("ordinal").alias("first"), F.col("at").alias("effective_from_us")), ["symbol", "first"])
