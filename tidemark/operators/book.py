@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.functions.fixed import fixed_e8
+from tidemark.functions.text import plain
+
 STREAM = ["source", "instrument_id", "session_id"]
-_OUT = "source string, instrument_id string, session_id string, sequence long, events long, n_bids int, n_asks int, best_bid long, best_ask long, violation string, at_sequence long, state_sha256 string, checkpoints array<struct<sequence: bigint, sha256: string>>"
+_OUT = "source string, instrument_id string, session_id string, sequence long, events long, n_bids int, n_asks int, best_bid long, best_ask long, tolerated long, violation string, at_sequence long, state_sha256 string, checkpoints array<struct<sequence: bigint, sha256: string>>"
 
 
 class _Rows:
@@ -57,14 +60,19 @@ class _Rows:
 
 
 class _Book:
-    def __init__(self, stream, wanted: frozenset, group: int):
-        self.stream, self.wanted, self.group = stream, wanted, group
+    def __init__(self, stream, wanted: frozenset, group: int, tolerate: frozenset):
+        self.stream, self.wanted, self.group, self.tolerate = stream, wanted, group, tolerate
         self.sides = {"bid": {}, "ask": {}}
         self.sequence = self.scale = self.violation = self.at = self.time = None
-        self.events, self.checkpoints = 0, []
+        self.events, self.tolerated, self.checkpoints = 0, 0, []
 
-    def fail(self, why: str, sequence: int) -> None:
+    def fail(self, why: str, sequence: int) -> bool:
+        """True if the stream stops here; what is tolerated is counted and passes."""
+        if why in self.tolerate:
+            self.tolerated += 1
+            return False
         self.violation, self.at = why, sequence
+        return True
 
     def crossed(self) -> bool:
         bids, asks = self.sides["bid"], self.sides["ask"]
@@ -79,39 +87,50 @@ class _Book:
         if self.violation:
             return
         self.events += 1
-        if self.time is not None and e.event_time is not None and e.event_time < self.time:
-            return self.fail("time_reversed", e.sequence)
+        if self.time is not None and e.event_time is not None and e.event_time < self.time and self.fail("time_reversed", e.sequence):
+            return
         if e.kind == "book_snapshot":
-            if self.sequence is not None and e.sequence <= self.sequence:
-                return self.fail("snapshot_not_advancing", e.sequence)
+            if self.sequence is not None and e.sequence <= self.sequence and self.fail("snapshot_not_advancing", e.sequence):
+                return
             levels = [(s, p, q, k) for s, side in (("bid", e.bids), ("ask", e.asks)) for p, q, k in zip(*(side if side is not None else ((), (), ())))]
-            if any(q <= 0 for _, _, q, _ in levels):
-                return self.fail("empty_level", e.sequence)
-            if len({k for *_, k in levels}) != 1:
-                return self.fail("scale_changed", e.sequence)
-            self.scale = levels[0][3]
+            if any(q is None or q <= 0 for _, _, q, _ in levels):
+                if self.fail("empty_level", e.sequence):
+                    return
+                levels = [x for x in levels if x[2] is not None and x[2] > 0]
+            scales = {k for *_, k in levels}
+            if len(scales) > 1 or (not scales and self.fail("scale_changed", e.sequence)):  # prices of two scales can't be compared, whatever is tolerated
+                self.violation, self.at = "scale_changed", e.sequence
+                return
+            self.scale = levels[0][3] if levels else self.scale
             self.sides = {s: {p: q for t, p, q, _ in levels if t == s} for s in ("bid", "ask")}
         else:
             if self.sequence is None:
-                return self.fail("no_snapshot", e.sequence)
-            if e.previous_sequence != self.sequence:
-                return self.fail("sequence_gap", e.sequence)
+                if self.fail("no_snapshot", e.sequence):
+                    return
+                self.scale = e.price_scale
+            elif e.previous_sequence != self.sequence and self.fail("sequence_gap", e.sequence):
+                return
+            self.scale = e.price_scale if self.scale is None else self.scale
             if e.price_scale != self.scale:
-                return self.fail("scale_changed", e.sequence)
+                self.violation, self.at = "scale_changed", e.sequence
+                return
             side = self.sides.get(e.side)
             if side is None or e.price is None:
-                return self.fail("no_level", e.sequence)
-            if e.action == "delete":
+                if self.fail("no_level", e.sequence):
+                    return
+            elif e.action == "delete":
                 if e.price not in side:
-                    return self.fail("absent_level", e.sequence)
-                del side[e.price]
+                    if self.fail("absent_level", e.sequence):
+                        return
+                else:
+                    del side[e.price]
             else:
                 side[e.price] = e.quantity
-        self.sequence, self.time = e.sequence, self.time if e.event_time is None else e.event_time
+        self.sequence, self.time = e.sequence, e.event_time if self.time is None else self.time if e.event_time is None else max(self.time, e.event_time)
         # levels of one provider update may cross each other until the last of them
         within = self.group > 1 and following is not None and following // self.group == e.sequence // self.group
-        if not within and self.crossed():
-            return self.fail("crossed", e.sequence)
+        if not within and self.crossed() and self.fail("crossed", e.sequence):
+            return
         if self.sequence in self.wanted:
             self.checkpoints.append({"sequence": self.sequence, "sha256": self.hash()})
 
@@ -181,22 +200,23 @@ class _Book:
     def row(self) -> dict:
         bids, asks = self.sides["bid"], self.sides["ask"]
         names = dict(zip(STREAM, self.stream))
-        return names | {"sequence": self.sequence, "events": self.events, "n_bids": len(bids), "n_asks": len(asks), "best_bid": max(bids, default=None), "best_ask": min(asks, default=None), "violation": self.violation, "at_sequence": self.at, "state_sha256": None if self.sequence is None else self.hash(), "checkpoints": self.checkpoints}
+        return names | {"sequence": self.sequence, "events": self.events, "n_bids": len(bids), "n_asks": len(asks), "best_bid": max(bids, default=None), "best_ask": min(asks, default=None), "tolerated": self.tolerated, "violation": self.violation, "at_sequence": self.at, "state_sha256": None if self.sequence is None else self.hash(), "checkpoints": self.checkpoints}
 
 
-def replay(events: DataFrame, *, checkpoints: tuple[int, ...] = (), group: int = 1) -> DataFrame:
+def replay(events: DataFrame, *, checkpoints: tuple[int, ...] = (), group: int = 1, tolerate: tuple[str, ...] = ()) -> DataFrame:
     """One row a stream: the book after its last good event, its hash, and the first violation, after which the stream stops.
 
     events: STREAM, kind, sequence, event_time, and side, action, price, quantity (fixed point), previous_sequence of
     deltas or bids, asks of snapshots. group: sequences per provider update; with more than 1 a book may be crossed
     inside an update. A stream is read in order by one task without being held as a whole: each event depends on all
     before; but a stretch of deltas that surely breaks nothing is one step of arrays. Equal sequences are in the order of
-    event_id.
+    event_id. tolerate: violations that are counted and passed over: a delete of an absent level and a row without level
+    change nothing, a stream without snapshot starts empty, empty levels of a snapshot are left out.
     """
     units = lambda c: F.struct(F.transform(c, lambda x: x["price"]["units"]).alias("p"), F.transform(c, lambda x: x["quantity"]["units"]).alias("q"), F.transform(c, lambda x: x["price"]["scale"].cast("long")).alias("s"))
     flat = events.select(*STREAM, "kind", "sequence", F.unix_micros("event_time").alias("event_time"), "event_id", "side", "action", F.col("price.units").alias("price"), F.col("price.scale").cast("long").alias("price_scale"), F.col("quantity.units").alias("quantity"), "previous_sequence", units("bids").alias("bids"), units("asks").alias("asks"))
     rows = flat.repartition(*STREAM).sortWithinPartitions(*STREAM, "sequence", "event_id")
-    wanted = frozenset(checkpoints)
+    wanted, passed = frozenset(checkpoints), frozenset(tolerate)
     made = to_arrow_schema(T._parse_datatype_string(_OUT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +227,7 @@ def replay(events: DataFrame, *, checkpoints: tuple[int, ...] = (), group: int =
             lo, done = 0, []
             for stop in [*np.flatnonzero(rows.ends[:count]).tolist(), count - 1]:
                 if lo <= stop:
-                    book = book or _Book(rows.stream(lo), wanted, group)
+                    book = book or _Book(rows.stream(lo), wanted, group, passed)
                     book.advance(rows, lo, stop + 1)
                     if rows.ends[stop]:
                         done.append(book.row())
@@ -229,11 +249,27 @@ def replay(events: DataFrame, *, checkpoints: tuple[int, ...] = (), group: int =
 
 def book_events(deltas: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Deltas and snapshots as one stream, one row of each change; side and action in plain spelling."""
-    from tidemark.functions.text import plain
-
     key = [*STREAM, "sequence"]
     d = deltas.groupBy(*key).agg(F.min_by(F.struct("event_time", "event_id", "side", "action", "price", "quantity", "previous_sequence"), F.struct("event_time", "event_id")).alias("_e")).select(*key, "_e.*")
     removed = (F.coalesce(plain(F.col("action")), F.lit("")) == "delete") | (F.col("quantity.units") == 0)
     d = d.withColumn("side", plain(F.col("side"))).withColumn("action", F.when(removed, "delete").otherwise("upsert")).withColumn("kind", F.lit("book_delta"))
     s = snapshots.groupBy(*key).agg(F.min_by(F.struct("event_time", "event_id", "bids", "asks"), F.struct("event_time", "event_id")).alias("_e")).select(*key, "_e.*").withColumn("kind", F.lit("book_snapshot"))
     return d.unionByName(s, allowMissingColumns=True)
+
+
+def standing_events(deltas: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The last snapshot of each stream and the changes after it, for a replay: prices and quantities at scale 8, one row of each change.
+
+    A null quantity or one of zero is a delete. Changes up to the snapshot's sequence, and rows without side, price or
+    sequence, are left out.
+    """
+    scaled = lambda c: F.struct(fixed_e8(c).alias("units"), F.lit(8).cast("smallint").alias("scale"))
+    levels = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(snapshots.schema[c].dataType)), lambda x: F.struct(scaled(x["price"]).alias("price"), scaled(x["quantity"]).alias("quantity"), x["order_count"].alias("order_count")))
+    last = snapshots.where("sequence is not null").groupBy(*STREAM).agg(F.max("sequence").alias("_last"))
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"l.{k}")) for k in STREAM]
+    s = snapshots.alias("e").join(last.alias("l"), [*same, F.col("e.sequence") == F.col("l._last")], "left_semi").withColumns({"bids": levels("bids"), "asks": levels("asks")})
+    d = deltas.alias("e").join(last.alias("l"), same, "left").where("e.sequence is not null and (l._last is null or e.sequence > l._last)").select("e.*")
+    quantity, price = scaled(F.col("quantity")), scaled(F.col("price"))
+    d = d.withColumns({"quantity": quantity, "price": price})
+    d = d.withColumn("action", F.when(F.coalesce(F.col("quantity.units"), F.lit(0)) == 0, "delete").otherwise(F.col("action")))
+    return book_events(d.where("price.units is not null").where(plain(F.col("side")).isin("bid", "ask")), s)

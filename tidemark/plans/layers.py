@@ -102,6 +102,13 @@ def book_replay(spark: SparkSession, d: str) -> DataFrame:
     return book.replay(events).drop("checkpoints")
 
 
+def book_best(spark: SparkSession, d: str) -> DataFrame:
+    """Each book after all its changes, replayed to the end: levels and best prices of either side."""
+    events = book.standing_events(table(spark, d, "book_deltas"), table(spark, d, "book_snapshots"))
+    out = book.replay(events, tolerate=("no_snapshot", "sequence_gap", "absent_level", "time_reversed", "crossed", "empty_level", "no_level"))
+    return out.where("violation is null and n_bids + n_asks > 0").select("instrument_id", "source", "session_id", "n_bids", "n_asks", "best_bid", "best_ask")
+
+
 def intake_issues(spark: SparkSession, d: str) -> DataFrame:
     contract = intake.Contract({"symbol": ("symbol", "string", None), "tick": ("price_tick", "number", None), "commission": ("commission_rate", "integer", None), "from": ("effective_from", "string", None)}, key=("symbol", "from"))
     _, issues = intake.normalize(table(spark, d, "catalog_snapshots"), contract)
@@ -144,6 +151,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_hashes, document_hashes, rounded_rates, rate_nanos, next_weekdays, fixed_values, event_violations, delta_violations, normalized_streams, normalized_arrivals, normalized_snapshot,
-        claim_shards, claim_conflicts, book_replay, intake_issues, rate_asof, sql_view, trade_bars_5m, partition_manifest, catalog_contiguity,
+        claim_shards, claim_conflicts, book_replay, book_best, intake_issues, rate_asof, sql_view, trade_bars_5m, partition_manifest, catalog_contiguity,
     )
 }

@@ -1,6 +1,7 @@
 """The same results in SQL."""
 
 from tidemark.plans.layers import CUBE
+from tidemark.plans.problems_sql import SQL as _PROBLEMS
 from tidemark.plans.problems_sql import _e8
 
 _D = "cast(rate_text as decimal(28,12))"
@@ -30,6 +31,8 @@ def _rules(table: str, rules: dict[str, str]) -> str:
 _BAD_TRADE = " or ".join(f"not coalesce({r}, false)" for r in _TRADE_RULES.values())
 _HEX = "cast(('0x' || substr(claim_sha256, {0}, {1})) as {2})"
 
+P3 = _PROBLEMS["p3_found"]
+
 SQL = {
     "canonical_hashes": "select doc_id, sha256(cast(json_object('doc_id', doc_id, 'lang', lang, 'n_chars', n_chars, 'source', source) as varchar)) as sha256 from documents",
     "rounded_rates": f"""
@@ -67,6 +70,10 @@ select substr(lower(event_id_hash), 1, 2) as shard, count(*) as rows, cast(sum({
   cast(sum({_HEX.format(49, 16, 'ubigint')}) as varchar) as total3, bit_xor({_HEX.format(1, 8, 'bigint')}) as mixed0,
   bit_xor({_HEX.format(57, 8, 'bigint')}) as mixed7 from claims group by 1""",
     "claim_conflicts": "select event_id, count(distinct lower(event_sha256)) as copies from claims where trim(event_id) <> '' group by 1 having count(distinct lower(event_sha256)) > 1",
+    "book_best": f"""
+with b as ({P3})
+select instrument_id, source, session_id, cast(count(*) filter (where side = 'bid') as integer) as n_bids, cast(count(*) filter (where side = 'ask') as integer) as n_asks,
+  max(price_e8) filter (where side = 'bid') as best_bid, min(price_e8) filter (where side = 'ask') as best_ask from b group by 1, 2, 3""",
     "intake_issues": """
 with r as (select *, count(*) over (partition by symbol, effective_from) as n from catalog_snapshots)
 select * from (
