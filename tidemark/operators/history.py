@@ -62,10 +62,11 @@ def presence(records: DataFrame, slices: DataFrame) -> DataFrame:
 
     Of the snapshots between two records only the first is an instant: one unset bit ends a run as well as many.
     """
-    rows = _first_after(records.select("symbol", "at", F.struct("venue", *NUMBERS).alias("values")))
+    rows = _first_after(written(records.select("symbol", "at", F.struct("venue", *NUMBERS).alias("values")), "standing"))
     rows = rows.join(slices, "_slice").withColumn("_missed", F.coalesce(F.get(F.filter("_times", lambda t: t > F.col("at")), 0), "_later"))
     gap = F.when(F.col("_missed") < F.coalesce("_next", F.lit((1 << 63) - 1)), F.struct(F.col("_missed").alias("at"), F.lit(None).cast(rows.schema["values"].dataType).alias("values")))
     both = rows.select("symbol", F.explode(F.array_compact(F.array(F.struct("at", "values"), gap))).alias("_i")).select("symbol", "_i.*").withColumn("_slice", F.shiftright("at", SLICE_BITS))
+    both = written(both, "presence")
     counts = both.groupBy("symbol", "_slice").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("symbol").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     inside = F.row_number().over(Window.partitionBy("symbol", "_slice").orderBy("at")) - 1
