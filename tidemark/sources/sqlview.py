@@ -75,7 +75,7 @@ class SqlView:
             for n, df in self.frames.items():
                 df.createOrReplaceTempView(names[n])
             heads = ", ".join(f"`{n}` AS (SELECT * FROM `{v}`)" for n, v in names.items())
-            return self.spark.sql(f"WITH {heads} SELECT * FROM ({sql})", args=args)
+            return self.spark.sql(f"WITH {heads} SELECT * FROM (\n{sql}\n)", args=args)
         finally:
             for v in names.values():
                 self.spark.catalog.dropTempView(v)
