@@ -31,6 +31,19 @@ def test_ids_equal_direct_encoding_and_come_back(spark, docs):
     assert [r.n_tokens for r in counts[1:]] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in TEXTS]
 
 
+def test_pieces_equal_whole_texts_for_every_character():
+    """Also for characters that the two tables of classes take differently."""
+    rnd = random.Random(3)
+    encoder = tokenizer.Encoder(tokenizer.vocabulary())
+    assert encoder.by_piece
+    characters = [chr(i) for i in [*range(1, 0x3000), *range(0x1F300, 0x1FA00), *range(0x16D00, 0x16E00), *range(0x11F00, 0x12000)]]
+    texts = ["".join(rnd.choice(["a", "b", " ", "1", "!", "'", "'s", "\n"]) + c for c in characters[i : i + 40]) + rnd.choice([" ", "'ll  ", ""]) for i in range(0, len(characters), 40)]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.ids(texts) == whole and encoder.odd
+    assert encoder.counts(texts) == [len(x) for x in whole]
+    assert encoder.ids(["x" * 5000, "", None]) == [encoder.tokenizer.encode("x" * 5000, add_special_tokens=False).ids, [], []]
+
+
 def test_offsets_cover_split_characters(spark, docs):
     pieces = tokenizer.id_bytes(tokenizer.vocabulary())
     for r in tokenizer.encode_with_offsets(docs.where("doc_id is not null").select("doc_id", "text")).collect():

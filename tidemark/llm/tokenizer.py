@@ -12,6 +12,7 @@ import json
 import os
 import sys
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -72,6 +73,75 @@ def _tokenizer(text: str):
     return _once(f"tokenizer {hash(text)}", make)
 
 
+# Fixed value: where byte-level vocabularies cut a text.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces remembered by a worker, and the longest that is.
+MEMO, MEMO_CHARS = 200_000, 64
+
+
+class _Pieces(dict):
+    """Ids of pieces of text, from the tokenizer where they are not known yet."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class Encoder:
+    """A tokenizer that remembers pieces. Vocabularies that cut texts by the byte-level rule encode each piece for itself.
+
+    The rule speaks of classes of characters, of which the tokenizers library has a table of its own. So each character,
+    once it is seen, is tried in both; texts with one that they take differently go to the library as a whole.
+    """
+
+    def __init__(self, vocab: str):
+        import regex
+
+        self.tokenizer, parsed = _tokenizer(vocab), json.loads(vocab)
+        cut = parsed.get("pre_tokenizer") or {}
+        plain = not any(parsed.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and all(t.get("special") for t in parsed.get("added_tokens", ()))
+        self.by_piece = plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        self.find, self.pieces = regex.compile(_CUT).findall, _Pieces(self.tokenizer)
+        self.known: set[str] = set()
+        self.odd: set[str] = set()
+
+    def _agree(self, fresh: set[str]) -> bool:
+        for c in fresh - self.odd:
+            probe = f"a{c}b 1{c}2 !{c}! {c} {c}{c}  {c}"
+            spans = [tuple(x) for _, x in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+            ends = np.cumsum([0, *map(len, self.find(probe))]).tolist()
+            (self.known if spans == list(zip(ends, ends[1:])) else self.odd).add(c)
+        return not fresh & self.odd
+
+    def _made(self, texts: list[str | None], of_pieces: Callable, of_ids: Callable) -> list:
+        out, whole, get = [of_ids([])] * len(texts), [], self.pieces.__getitem__
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            fresh = set(t) - self.known
+            if not self.by_piece or (fresh and not self._agree(fresh)):
+                whole.append(i)
+            else:
+                out[i] = of_pieces(map(get, self.find(t)))
+        if whole:
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+                out[i] = of_ids(e.ids)
+        return out
+
+    def ids(self, texts: list[str | None]) -> list[list[int]]:
+        return self._made(texts, lambda parts: list(chain.from_iterable(parts)), lambda ids: ids)
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        return self._made(texts, lambda parts: sum(map(len, parts)), len)
+
+
 def _calls(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Slices of about CALL_CHARS characters."""
     start = held = 0
@@ -99,7 +169,7 @@ def _over_text(df: DataFrame, text: str, vocab: str, each: Callable, fields: lis
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for lo, hi in _calls(texts):
-                tokenizer = tokenizer or _tokenizer(shared.value)
+                tokenizer = tokenizer or _once(f"encoder {hash(shared.value)}", lambda: Encoder(shared.value))
                 made = each(tokenizer, texts[lo:hi])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*part.schema.names[1:], *(n for n, _ in fields)])
@@ -108,23 +178,19 @@ def _over_text(df: DataFrame, text: str, vocab: str, each: Callable, fields: lis
     return df.select(text, *[f.name for f in keep]).mapInArrow(run, schema)
 
 
-def _ids_of(tokenizer, texts: list[str | None]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-
-
 def encode(df: DataFrame, text: str = "text", vocab: str | None = None) -> DataFrame:
     """df without its text column, with ids array<bigint>; [] for null and empty texts. Whole texts, however long."""
 
     def each(tokenizer, texts):
-        ids = _ids_of(tokenizer, texts)
-        return [_lists([len(x) for x in ids], np.concatenate([np.asarray(x, np.int64) for x in ids]) if ids else np.zeros(0))]
+        ids = tokenizer.ids(texts)
+        return [_lists([len(x) for x in ids], np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))))]
 
     return _over_text(df, text, vocab or vocabulary(), each, [("ids", T.ArrayType(T.LongType()))])
 
 
 def token_counts(df: DataFrame, text: str = "text", vocab: str | None = None) -> DataFrame:
     """df without its text column, with n_tokens bigint; 0 for null and empty texts."""
-    return _over_text(df, text, vocab or vocabulary(), lambda t, x: [pa.array([len(i) for i in _ids_of(t, x)], pa.int64())], [("n_tokens", T.LongType())])
+    return _over_text(df, text, vocab or vocabulary(), lambda t, x: [pa.array(t.counts(x), pa.int64())], [("n_tokens", T.LongType())])
 
 
 def char_spans(text: str, ids: list[int], pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +209,7 @@ def encode_with_offsets(df: DataFrame, text: str = "text", vocab: str | None = N
 
     def each(tokenizer, texts):
         pieces = _once(f"pieces {hash(vocab)}", lambda: id_bytes(vocab))
-        ids = _ids_of(tokenizer, texts)
+        ids = tokenizer.ids(texts)
         spans = [char_spans(t or "", i, pieces) for t, i in zip(texts, ids)]
         sizes = [len(i) for i in ids]
         flat = lambda parts: np.concatenate([np.asarray(p, np.int64) for p in parts])
