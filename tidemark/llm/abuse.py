@@ -12,7 +12,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -32,6 +32,8 @@ FOLDS = 3
 SPAN = 16
 #: Log odds from which a window of a reviewed document counts as abusive: one of these, whichever predicts unseen labels better.
 EVIDENCE = (1.5, 2.5)
+#: Sentences, and windows, that a worker remembers, and the longest that is.
+MEMO, MEMO_CHARS = 100_000, 200
 #: Share of reviews that are taken to be wrong.
 NOISE = 0.1
 
@@ -54,8 +56,10 @@ beleidigungen sind verboten; der prozess wurde beendet; ich idiot habe die datei
 los insultos estan prohibidos; que tonto soy, se me olvido; informe sobre acoso y discriminacion; maldita sea, perdi el cierre;
 禁止辱骂和威胁; 我真笨忘了保存; 这个程序是垃圾; 关于骚扰和歧视的报告; 终止进程; 裸卖空被禁止"""
 
-_UNSEEN = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, 0xAD, *range(0, 9), *range(14, 32)], None)
+_UNSEEN = re.compile(f"[{re.escape(''.join(map(chr, [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, 0xAD, *range(0, 9), *range(14, 32)])))}]+")
 _CUT = re.compile(r"(?<=[.!?;])[\s\"'”’»)]+|(?<=[.!?。！？；])(?=[\u4e00-\u9fff])|(?<=[。！？；])|[\r\n\v\f\u2028\u2029]+|[。；]")
+#: The same for ASCII.
+_END, _LINES = re.compile(r"([.!?;])[\s\"')]+"), re.compile(r"[\r\n\v\f]+")
 _CODE = re.compile(r"(?<![a-z0-9])(?:[a-z]{2}\d{4,}|ev-\d+)(?![a-z0-9])")
 _CHAT = re.compile(r"^\[\d\d:\d\d\] *\w+: *|^[>#\-*\s]+")
 _INSTANT = re.compile(r"\b\d{4}-\d\d-\d\d[t ][\d:.]+z?")
@@ -66,13 +70,31 @@ _RUN = re.compile(r"([a-z])\1{2,}")
 _HAN = "\u4e00-\u9fff"
 #: A word, or a character of Chinese.
 _UNIT = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+(?:\*+[^\W_{_HAN}]+)*")
-_LEET_WORD = re.compile(r"[a-z0-9@$](?:[a-z0-9@$]|[!|](?=[a-z0-9]))*")
+#: Words in which something stands for a letter.
+_LEET_WORD = re.compile(r"(?<![a-z0-9@$])(?=[a-z]*[0-9@$!|])[a-z0-9@$](?:[a-z0-9@$]|[!|](?=[a-z0-9]))*")
+_DIGIT = re.compile(r"\d")
+_STANDS_IN = re.compile(r"[0-9@$!|]")
+_SEPARATED = re.compile(r"[a-z0-9@$*][ .\-_·][a-z0-9@$*][ .\-_·]")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _ALIKE = str.maketrans("аеорсхуіѕјԁɡһκνο", "aeopcxyisjdghkvo")
+_HAS_ALIKE = re.compile("[аеорсхуіѕјԁɡһκνο]")
+
+
+class _Marks(dict):
+    """For str.translate: drops combining marks."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = None if unicodedata.combining(chr(c)) else c
+        return self[c]
+
+
+_NO_MARKS = _Marks()
 
 
 def _unleet(match: re.Match) -> str:
     word = match.group()
+    if len(word) < 3:
+        return word
     letters = sum(c.isalpha() for c in word)
     if letters in (0, len(word)) or len(word) < 3 or letters < 2 and len(word) < 4:
         return word
@@ -81,22 +103,39 @@ def _unleet(match: re.Match) -> str:
 
 def plain_windows(text: str | None) -> list[str]:
     """The windows of a whole text, spelled plainly. Null, empty and blank texts have none."""
+    sentences, han = _sentences(text)
+    return [w for s in sentences for w in _plain(s, han)]
+
+
+def _sentences(text: str | None) -> tuple[list[str], bool]:
+    """Sentences and lines of a text without case, marks and look-alikes, and whether it has spaced Chinese characters."""
     if not text:
-        return []
-    text = unicodedata.normalize("NFKC", text.translate(_UNSEEN)).lower()
-    text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    out = []
-    for window in _CUT.split(unicodedata.normalize("NFC", text.translate(_ALIKE))):
-        window = _CHAT.sub("", window.strip())
+        return [], False
+    text = _UNSEEN.sub("", text)
+    if text.isascii():
+        return _LINES.split(_END.sub(r"\1\n", text.lower())), False
+    text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower()).translate(_NO_MARKS)
+    text = unicodedata.normalize("NFC", text.translate(_ALIKE) if _HAS_ALIKE.search(text) else text)
+    return _CUT.split(text), _CJK_GAP.search(text) is not None
+
+
+def _plain(window: str, han: bool) -> list[str]:
+    """Windows of one sentence or line. han: the text has spaced Chinese characters."""
+    window = _CHAT.sub("", window.strip())
+    digits = _DIGIT.search(window) is not None
+    if digits:
         window = _CODE.sub("xx", _INSTANT.sub("0", window))
+    if han:
         window = _CJK_GAP.sub("", window)
+    if _SEPARATED.search(window):
         window = _SPACED.sub(lambda m: re.sub(r"[ .\-_·]", "", m.group()), window)
+    if digits:
         window = _NUMBER.sub("0", window)
+    if _STANDS_IN.search(window):
         window = _LEET_WORD.sub(_unleet, window)
-        window = _RUN.sub(r"\1", window)
-        words = _UNIT.findall(window)
-        out += [_CJK_GAP.sub("", " ".join(words[i : i + SPAN])) for i in range(0, max(1, len(words) - SPAN // 2), SPAN // 2)] if words else []
-    return out
+    window = _RUN.sub(r"\1", window)
+    words = _UNIT.findall(window)
+    return [_CJK_GAP.sub("", " ".join(words[i : i + SPAN])) for i in range(0, max(1, len(words) - SPAN // 2), SPAN // 2)] if words else []
 
 
 def _pieces(window: str) -> list[str]:
@@ -144,7 +183,33 @@ class CompressionModel:
 
     def score(self, text: str | None) -> float:
         """The greatest distance of a text's windows; -1 if it has none."""
-        return max(map(self.distance, plain_windows(text)), default=-1.0)
+        return self.remembering()(text)
+
+    def remembering(self) -> Callable[[str | None], float]:
+        """score for many texts: sentences and windows that were met before are looked up."""
+        sentences_known: dict[str, float] = {}
+        windows_known: dict[str, float] = {}
+
+        def look(known: dict[str, float], key: str, find: Callable[[], float]) -> float:
+            found = known.get(key)
+            if found is None:
+                found = find()
+                if len(key) <= MEMO_CHARS:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    known[key] = found
+            return found
+
+        def of_window(w: str) -> float:
+            return look(windows_known, w, lambda: self.distance(w))
+
+        def of_text(text: str | None) -> float:
+            sentences, han = _sentences(text)
+            if han:
+                return max((of_window(w) for s in sentences for w in _plain(s, han)), default=-1.0)
+            return max((look(sentences_known, s, lambda s=s: max(map(of_window, _plain(s, False)), default=-1.0)) for s in sentences), default=-1.0)
+
+        return of_text
 
 
 #: After each window, so that even a short one is worth compressing; a match costs the same with either dictionary.
@@ -277,24 +342,16 @@ def score_documents(docs: DataFrame, model: CompressionModel, text: str = "text"
 
     Every window of every text is scored. Null, empty and blank texts have the score -1.
     """
-    parts = (model.abusive, model.ordinary, model.words, model.threshold)  # two dictionaries of DICTIONARY_BYTES at most
+    threshold = model.threshold
+    parts = (model.abusive, model.ordinary, model.words, threshold)  # two dictionaries of DICTIONARY_BYTES at most
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     keep = [f for f in docs.schema if f.name not in (text, "score", "abusive")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = CompressionModel(*shared.value), {}
+        score = CompressionModel(*shared.value).remembering()
         for batch in batches:
-            scores = []
-            for t in batch.column(0).to_pylist():
-                best = -1.0
-                for w in plain_windows(t):
-                    if w not in known:
-                        if len(known) >= 50_000:
-                            known.clear()
-                        known[w] = model.distance(w)
-                    best = max(best, known[w])
-                scores.append(best)
-            made = [pa.array(scores, pa.float64()), pa.array([s > model.threshold for s in scores], pa.bool_())]
+            scores = [score(t) for t in batch.column(0).to_pylist()]
+            made = [pa.array(scores, pa.float64()), pa.array([s > threshold for s in scores], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], "score", "abusive"])
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in keep] + [T.StructField("score", T.DoubleType()), T.StructField("abusive", T.BooleanType())])
