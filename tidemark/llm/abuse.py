@@ -8,6 +8,7 @@ stars, repeated letters).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -17,12 +18,15 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bound on the reviewed documents that are read for training: those of the smallest hash of doc_id.
 MAX_REVIEWED = 8_000
+#: Bound on the characters of all of them, so that the driver holds some tens of MB.
+TRAINING_CHARS = 1 << 25
+#: What a dictionary may hold; content of least weight gives way.
 DICTIONARY_BYTES = 1 << 19
 LEVEL = 12
 #: A window joins a dictionary if what came before compresses it to no less than this share.
@@ -37,7 +41,7 @@ MEMO, MEMO_CHARS = 100_000, 200
 #: Share of reviews that are taken to be wrong.
 NOISE = 0.1
 
-# Phrases in the four languages that stand for either class where few documents were reviewed.
+# Phrases in the four languages that stand for either class where few documents were reviewed.
 ABUSIVE_SEED = """you are an idiot; you stupid moron; shut up you bastard; what an asshole you are; you worthless piece of shit;
 go to hell you bitch; fuck you; fuck off; you fucking cunt; you are a disgusting pig; nobody likes you, loser; you dumbass;
 i will kill you; i am going to beat you up; i know where you live; i will break your bones; go kill yourself; you should die;
@@ -285,11 +289,11 @@ class _Evidence:
 def _fit(documents: list[tuple[list[str], bool]], least: float, memo: dict[str, list[str]]) -> CompressionModel:
     evidence = _Evidence(documents, memo)
     abusive, ordinary = Counter(), Counter()
-    for windows, label in documents:
-        for w in set(windows):
-            for part, to in zip(evidence.split(w, least), (abusive, ordinary)):
-                if part:
-                    to[part] += 1
+    held = Counter(w for windows, _ in documents for w in dict.fromkeys(windows))  # in how many documents; in their order, so that ties are settled alike in every run
+    for w, n in held.items():
+        for part, to in zip(evidence.split(w, least), (abusive, ordinary)):
+            if part:
+                to[part] += n
     for seed, to in ((ABUSIVE_SEED, abusive), (ORDINARY_SEED, ordinary)):
         to.update(_seed(seed))
     words: dict[int, Counter] = {}
@@ -310,7 +314,10 @@ def fit(reviewed: list[tuple[int, str, float]]) -> CompressionModel:
             scored = []
             for f in range(FOLDS):
                 model = _fit([x for i, x in enumerate(documents) if i % FOLDS != f], least, memo)
-                scored += [(max(map(model.distance, w), default=-1.0), y) for w, y in documents[f::FOLDS]]
+                found: dict[str, float] = {}
+                for w in {w for windows, _ in documents[f::FOLDS] for w in windows}:
+                    found[w] = model.distance(w)
+                scored += [(max(map(found.__getitem__, w), default=-1.0), y) for w, y in documents[f::FOLDS]]
             options.append((*best_threshold(scored), least))
     f1, threshold, least = max(options, default=(0.0, 0.1, EVIDENCE[-1]))
     model = _fit(documents, least, memo)
@@ -331,10 +338,27 @@ def best_threshold(scored: list[tuple[float, bool]], least: float = 0.02) -> tup
 
 
 def reviewed_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_REVIEWED, chars: int = 100_000) -> list[tuple[int, str, float]]:
-    """(doc_id, text, mean label) of at most ``most`` reviewed documents of up to ``chars`` characters, for training only."""
+    """(doc_id, text, mean label) of at most ``most`` reviewed documents of up to ``chars`` characters each and TRAINING_CHARS together, for training only."""
     judged = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("label"))
     rows = docs.where(F.length("text") <= chars).select("doc_id", "text").join(judged, "doc_id")
-    return [tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()]
+    order = [F.xxhash64("doc_id"), "doc_id", "text"]
+    few = rows.orderBy(*order).limit(most)
+    so_far = F.sum(F.length("text")).over(Window.orderBy(*order))  # of MAX_REVIEWED rows
+    return [tuple(r) for r in few.withColumn("_chars", so_far).where(F.col("_chars") <= TRAINING_CHARS).drop("_chars").orderBy(*order).collect()]
+
+
+#: The last models fitted in this process, by a hash of what they were fitted on.
+_FITTED: dict[str, CompressionModel] = {}
+
+
+def fitted(reviewed: list[tuple[int, str, float]]) -> CompressionModel:
+    """fit, once for the same reviewed documents."""
+    key = hashlib.sha256(repr(reviewed).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _FITTED:
+        if len(_FITTED) >= 4:
+            _FITTED.clear()
+        _FITTED[key] = fit(reviewed)
+    return _FITTED[key]
 
 
 def score_documents(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataFrame:
@@ -360,7 +384,7 @@ def score_documents(docs: DataFrame, model: CompressionModel, text: str = "text"
 
 def _scored(spark, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    model = fit(reviewed_documents(docs, spark.read.parquet(f"{d}/review_labels.parquet")))
+    model = fitted(reviewed_documents(docs, spark.read.parquet(f"{d}/review_labels.parquet")))
     return score_documents(docs.select("doc_id", "source", "text"), model)
 
 
