@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.checks import ValidationError, require_columns, strict
 from tidemark.operators.dyadic import FOREVER, stab
+from tidemark.sources.shared import written
 
 #: Width of a slice in seconds.
 SLICE = 7 * 86400
@@ -110,7 +111,8 @@ def bitemporal_conflicts(facts: DataFrame, keys: list[str], *, effective_from: s
     """
     clocks = [_micros(effective_from).alias("f"), _micros(effective_to, FOREVER).alias("t"), _micros(available).alias("a"), _micros(superseded, FOREVER).alias("s")]
     kinds = facts.groupBy(F.struct(*keys).alias("key"), *clocks).agg(F.count("*").alias("copies")).where("f < t and a < s")
-    side = lambda p: kinds.select(F.xxhash64(F.to_json("key", {"ignoreNullFields": "false"})).alias(f"{p}_h"), *[F.col(c).alias(f"{p}_{c}") for c in kinds.columns])
+    kinds = written(kinds, "facts")
+    side = lambda p: kinds.select(F.xxhash64(*[F.col("key")[k] for k in keys]).alias(f"{p}_h"), *[F.col(c).alias(f"{p}_{c}") for c in kinds.columns])
     before = F.col("l_key").eqNullSafe(F.col("r_key")) & (F.struct("l_a", "l_f", "l_t", "l_s") < F.struct("r_a", "r_f", "r_t", "r_s")) & (F.col("r_a") < F.col("l_s"))
     spans = lambda p: side(p).withColumnsRenamed({f"{p}_h": "h"}).withColumns({"start": F.col(f"{p}_f"), "end": F.col(f"{p}_t")})
     points = lambda p: side(p).withColumnRenamed(f"{p}_h", "h")
@@ -134,11 +136,12 @@ def bitemporal_join(observations: DataFrame, facts: DataFrame, *, time: str = "o
     columns = [c for c in facts.columns if c not in {*by, *clocks}] if columns is None else columns
     if check:
         strict(bitemporal_conflicts(facts, by, effective_from=effective_from, effective_to=effective_to, available=available, superseded=superseded), "ambiguous bitemporal facts")
-    key = lambda: F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by]), F.struct(*by))
+    key = lambda: F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by]), F.xxhash64(*by))
+    same = reduce(lambda a, b: a & b, [F.col(f"_o.`{k}`") == F.col(f"_by.`{k}`") for k in by])
     made = {**{c: F.col(c) for c in columns}, "source_effective_from": F.col(effective_from), "source_available_at": F.col(available)}
-    f = facts.select(key().alias("_key"), _micros(effective_from).alias("start"), _micros(effective_to, FOREVER).alias("end"), _micros(available).alias("_a"), _micros(superseded, FOREVER).alias("_s"), F.struct(*[c.alias(n) for n, c in made.items()]).alias("_f"))
+    f = facts.select(key().alias("_key"), _micros(effective_from).alias("start"), _micros(effective_to, FOREVER).alias("end"), _micros(available).alias("_a"), _micros(superseded, FOREVER).alias("_s"), F.struct(*by).alias("_by"), F.struct(*[c.alias(n) for n, c in made.items()]).alias("_f"))
     o = observations.select(key().alias("_key"), _micros(time).alias("_t"), _micros(as_of).alias("_known"), F.struct(*observations.columns).alias("_o"))
-    joined = stab(o, f, "_key", "_t", how="left", also=(F.col("_a") <= F.col("_known")) & (F.col("_known") < F.col("_s")))
+    joined = stab(o, f, "_key", "_t", how="left", also=same & (F.col("_a") <= F.col("_known")) & (F.col("_known") < F.col("_s")))
     return joined.select(*[F.col(f"_o.`{c}`") for c in observations.columns], *[F.col(f"_f.`{n}`") for n in made])
 
 

@@ -16,19 +16,16 @@ from tidemark.sources.shared import written
 LEAF_BITS = 26
 #: Without end: beyond the years that a TIMESTAMP can hold.
 FOREVER = 1 << 60
-_LEVELS = 60 - LEAF_BITS + 1
 #: Nodes are broadcast up to this many rows and bytes (both measured before use); beyond, points are routed by cells.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
-#: Sizes of a cell to choose from, in bits of microseconds: from some 6 years down to 4 minutes.
-CELLS = (47, 42, 37, 32, 28)
-#: Narrow nodes that a cell of a key should hold on average, at most.
-CELL_NODES = 64
+#: Bits of microseconds that a cell may have: from a leaf to some 9 years.
+CELL_BITS = range(LEAF_BITS, 49)
 
 
-def interval_nodes(start: Column, end: Column) -> Column:
-    """array<struct<level, node>> that covers the leaves that the half-open [start, end) touches."""
-    first = F.shiftright(start, LEAF_BITS)
-    beyond = F.shiftright(end - 1, LEAF_BITS) + 1
+def interval_nodes(start: Column, end: Column, bits: int = LEAF_BITS) -> Column:
+    """array<struct<level, node>> that covers the leaves, of 2^bits microseconds, that the half-open [start, end) touches."""
+    first = F.shiftright(start, bits)
+    beyond = F.shiftright(end - 1, bits) + 1
 
     def at(level: Column) -> Column:
         size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
@@ -38,7 +35,7 @@ def interval_nodes(start: Column, end: Column) -> Column:
         one = lambda cond, node: F.when(cond, F.struct(level.cast("int").alias("level"), node.alias("node")))
         return F.array(one((lo < hi) & odd(lo), lo), one((lo < hi) & odd(hi), hi - 1))
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at)), lambda n: n.isNotNull())
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(60 - bits + 1)), at)), lambda n: n.isNotNull())
 
 
 def _probe(points: DataFrame, time: str, levels: list[int]) -> DataFrame:
@@ -51,37 +48,30 @@ def _bytes(df: DataFrame) -> Column:
     return sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
 
 
-def _measured(nodes: DataFrame, key: str) -> tuple[int, int, list[int], int]:
-    """Rows, bytes, levels in use (35 at most) and the largest cell that holds few nodes of a key."""
-    narrow = lambda bits: F.col("level") < bits - LEAF_BITS
-    cell = lambda bits: F.when(narrow(bits), F.xxhash64(key, F.expr(f"shiftright(node, {bits - LEAF_BITS} - level)")))
-    found = nodes.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(_bytes(nodes)), F.lit(0)).alias("bytes"), F.array_sort(F.collect_set("level")).alias("levels"),
-        *[F.count_if(narrow(b)).alias(f"n{b}") for b in CELLS], *[F.approx_count_distinct(cell(b)).alias(f"c{b}") for b in CELLS],
-    ).first()
-    bits = next((b for b in CELLS if found[f"n{b}"] <= CELL_NODES * found[f"c{b}"]), CELLS[-1])
-    return found.rows, found.bytes, found.levels, bits
+def _cell_bits(intervals: DataFrame) -> int:
+    """Cells about as long as the shorter quarter of the intervals: then few intervals share a cell but those that overlap, and few nodes cover one."""
+    length = F.col("end") - F.col("start")
+    usual = intervals.where(F.col("end") < FOREVER).agg(F.percentile_approx(length, 0.25, 1000)).first()[0]
+    return min(max((usual or 1 << CELL_BITS[-1]).bit_length() - 1, CELL_BITS[0]), CELL_BITS[-1])
 
 
-def _cell_join(points: DataFrame, nodes: DataFrame, key: str, time: str, levels: list[int], bits: int, also: Column, how: str) -> DataFrame:
-    """Points and nodes meet at (key, cell), where node and ends are compared. A point is moved once, whatever the levels.
+def _cell_join(points: DataFrame, intervals: DataFrame, key: str, time: str, also: Column, how: str) -> DataFrame:
+    """Points and intervals meet at (key, cell) by the nodes over the cells; then the ends are compared.
 
-    A node narrower than a cell lies in one. A wider one is looked up, level by level, for the cells that hold points.
+    Only the cells that hold points are looked up, level by level; a point itself is moved once, whatever the levels.
     """
-    up = bits - LEAF_BITS
+    lo, hi = points.agg(F.min(time), F.max(time)).first()  # the tree need be no higher than what is asked for
+    lo, hi = (0, -1) if lo is None else (lo, hi)
+    intervals = intervals.where((F.col("start") <= hi) & (F.col("end") > lo))
+    bits = _cell_bits(intervals)
+    nodes = written(intervals.select("*", F.inline(interval_nodes(F.greatest("start", F.lit(lo)), F.least("end", F.lit(hi + 1)), bits))), "nodes")
+    levels = range(((hi >> bits) - (lo >> bits) + 1).bit_length() + 1)
     at = F.shiftright(F.col(time), bits)
-    located = points.withColumn("_cell", at)
-    narrow = nodes.where(F.col("level") < up).withColumn("_cell", F.expr(f"shiftright(node, {up} - level)"))
-    wide = [k for k in levels if k >= up]
-    if wide:
-        cells = points.select(key, at.alias("_cell")).where(F.col("_cell").isNotNull()).distinct()
-        probes = cells.select("*", F.inline(F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.shiftright("_cell", k - up).alias("node")) for k in wide])))
-        narrow = narrow.unionByName(nodes.where(F.col("level") >= up).join(probes, [key, "level", "node"]))
-    there = narrow.withColumnsRenamed({key: "_nkey", "_cell": "_ncell"})
-    leaf = F.shiftright(F.col(time), LEAF_BITS)
-    on = (F.col(key) == F.col("_nkey")) & (F.col("_cell") == F.col("_ncell")) & (F.call_function("shiftright", leaf, F.col("level")) == F.col("node"))
-    on = on & (F.col("start") <= F.col(time)) & (F.col(time) < F.col("end")) & also
-    return located.join(there, on, how).drop("_cell", "_nkey", "_ncell", "level", "node")
+    cells = points.select(key, at.alias("_ncell")).dropna().distinct()
+    probes = cells.select(F.col(key).alias("_nkey"), "_ncell", F.inline(F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.shiftright("_ncell", k).alias("node")) for k in levels])))
+    there = nodes.withColumnRenamed(key, "_nkey").join(probes, ["_nkey", "level", "node"]).drop("level", "node")
+    on = (F.col(key) == F.col("_nkey")) & (F.col("_cell") == F.col("_ncell")) & (F.col("start") <= F.col(time)) & (F.col(time) < F.col("end")) & also
+    return points.withColumn("_cell", at).join(there, on, how).drop("_cell", "_nkey", "_ncell")
 
 
 def stab(points: DataFrame, intervals: DataFrame, key: str, time: str, *, how: str = "inner", also: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -91,14 +81,14 @@ def stab(points: DataFrame, intervals: DataFrame, key: str, time: str, *, how: s
     key). Points without key or time and intervals without key, or empty ones, match nothing; with how 'left' points
     without a match come out once, with 'left_semi' those with one. also: a further condition of a match.
     """
-    usable = intervals.where(F.col(key).isNotNull() & (F.col("start") < F.col("end")))
-    nodes = written(usable.select("*", F.inline(interval_nodes(F.col("start"), F.col("end")))), "nodes")
-    count, size, levels, bits = _measured(nodes, key)
-    small = count <= broadcast_rows and size <= BROADCAST_BYTES
+    usable = written(intervals.where(F.col(key).isNotNull() & (F.col("start") < F.col("end"))), "intervals")
     also = F.lit(True) if also is None else also
-    if how != "inner" or not small:
-        # wide nodes are copied to the cells of points, whose number has no bound; so they are not broadcast
-        return _cell_join(points, nodes, key, time, levels or [], bits, also, how)
+    if how != "inner" or usable.count() * 8 > broadcast_rows:  # an interval has some ten nodes
+        return _cell_join(points, usable, key, time, also, how)
+    nodes = written(usable.select("*", F.inline(interval_nodes(F.col("start"), F.col("end")))), "nodes")
+    count, size, levels = nodes.agg(F.count("*"), F.coalesce(F.sum(_bytes(nodes)), F.lit(0)), F.array_sort(F.collect_set("level"))).first()  # levels: 35 at most
+    if count > broadcast_rows or size > BROADCAST_BYTES:
+        return _cell_join(points, usable, key, time, also, how)
     probes = _probe(points.where(F.col(key).isNotNull() & F.col(time).isNotNull()), time, levels or [])
     joined = probes.join(F.broadcast(nodes), [key, "level", "node"])
     return joined.where((F.col("start") <= F.col(time)) & (F.col(time) < F.col("end")) & also).drop("level", "node")
