@@ -402,4 +402,9 @@ def p9_rates(spark, d: str) -> DataFrame:
     return rows.withColumn("rate", F.col("n_abusive") / F.col("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_scores, p9_rates)}
+def p9_documents(spark, d: str) -> DataFrame:
+    """How many documents of each source were scored."""
+    return _scored(spark, d).groupBy("source").agg(F.count("score").alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p9_found, p9_scores, p9_rates, p9_documents)}

@@ -126,4 +126,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(*mix(documents(spark, d), table(spark, d, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p8_mix, p8_shares)}
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """For each target, whether no document is in the mix too often, and whether its tokens are its quota but for the documents that stand at a shard's end."""
+    mixed, plan, total = mix(documents(spark, d), table(spark, d, "mix_targets"))
+    longest = mixed.groupBy("source").agg(F.max("n_tokens").alias("_longest"))
+    out = shares(mixed, plan, total).join(longest, "source", "left").na.fill(0, ["_longest"])
+    shards = F.ceil(F.col("source_tokens") / max(SHARD, -(-total // MAX_SHARDS))) + 1
+    return out.select("source", "target_share", "max_repeats", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("mixed_tokens") - F.col("quota_tokens")) <= shards * (F.col("_longest") + BLOCK)).alias("at_quota"))
+
+
+QUERIES = {f.__name__: f for f in (p8_mix, p8_shares, p8_limits)}
