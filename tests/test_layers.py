@@ -191,10 +191,22 @@ def test_lake_round_trip(spark, tmp_path):
     assert lake.write_curated(bars, root, dataset="d", revision="r", recipe="x", inputs=[name]) == first
     with pytest.raises(ValidationError):
         lake.write_curated(bars.withColumn("open", F.lit(2.0)), root, dataset="d", revision="r", recipe="x", inputs=[name])
+    assert [(r.id, r.rows) for r in lake.listed(spark, f"{root}/normalized").collect()] == [(name, 20)] and lake.listed(spark, f"{root}/nothing").collect() == []
+    held = {r["column"]: r for r in lake.summary(rows.select("event_id", F.lit(None).cast("int").alias("x"))).collect()}
+    assert {c: (r.rows, r.nulls) for c, r in held.items()} == {"event_id": (20, 0), "x": (20, 20)} and 18 <= held["event_id"]["distinct"] <= 22
     part = next(p for p in (tmp_path / "normalized" / name / "data").rglob("*.parquet"))
     part.unlink()
     with pytest.raises(ValidationError):
         lake.read_snapshot(spark, f"{root}/normalized", name)
+    days = spark.range(60).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("day"))
+    kept = lake.write_snapshot(days, f"{root}/days", partition_by=("day",), sort_by=("id",))
+    assert lake.write_snapshot(days.repartition(5), f"{root}/days", partition_by=("day",)) == kept  # nor does it land inside the first
+    for p in (tmp_path / "days" / kept / "data" / "day=2024-01-02").glob("*.parquet"):
+        p.unlink()
+    assert lake.read_snapshot(spark, f"{root}/days", kept, where="day = '2024-01-01'").count() == 20  # other partitions are not read
+    for where in (None, "day >= '2024-01-02'", "id = 1"):
+        with pytest.raises(Exception):  # noqa: B017
+            lake.read_snapshot(spark, f"{root}/days", kept, where=where)
     sha = lake.write_raw(spark, root, source="s", request="q", collected_at="t", payload=b"\x00bytes", key="k")
     assert lake.read_raw(spark, root, sha) == b"\x00bytes" == lake.read_raw(spark, root, lake.write_raw(spark, root, source="s", request="q", collected_at="t", payload=b"\x00bytes", key="k"))
     with pytest.raises(ValidationError):
@@ -372,6 +384,19 @@ def test_buffered_frames_are_let_in_after_the_snapshot(spark, tmp_path):
     assert of("r") == Counter([(50, "snapshot"), (52, "bridge"), (3, "reset"), (4, "buffered"), (3, "snapshot"), (4, "bridge"), (5, "live")])
 
 
+def test_how_the_first_update_meets_its_snapshot():
+    def outcomes(frames, **kw):
+        feed = capture.FeedSync(**kw)
+        return [feed.admit(*f) for f in frames], feed.state
+
+    snapshot = (None, 20, None)
+    assert outcomes([snapshot, (21, 22, None)]) == (["snapshot", "bridge"], "LIVE")
+    assert outcomes([snapshot, (21, 22, None)], overlap=True) == (["snapshot", "gap"], "RESYNC")
+    assert outcomes([snapshot, (19, 20, None), (20, 22, None)], overlap=True) == (["snapshot", "late", "bridge"], "LIVE")
+    assert outcomes([snapshot, (23, 21, None)]) == (["snapshot", "gap"], "RESYNC")
+    assert outcomes([snapshot, (22, 23, None)])[0] == ["snapshot", "gap"]
+
+
 def test_bars_over_a_stream_equal_bars_at_once(spark, tmp_path):
     rnd = random.Random(8)
     data = [("s", rnd.choice("ab"), T0 + timedelta(minutes=rnd.randint(0, 200)), i, str(i), rnd.randint(1, 9), 1) for i in range(300)] + [("s", "z", T0 + timedelta(days=2), 999, "999", 1, 1)]

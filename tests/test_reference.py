@@ -288,3 +288,20 @@ def test_hash_of_a_whole_table(spark, sf, tmp_path):
         for h in hashes:
             want[f"x{i}"] ^= int(h[i * 8 : i * 8 + 8], 16)
     assert reference.trades_hash(spark, str(tmp_path)).first().asDict() == want
+
+
+@pytest.mark.parametrize("lag", [0, 1, 3])
+def test_days_of_a_calendar(spark, lag):
+    rnd = random.Random(lag)
+    first = date(2024, 1, 1)
+    opens = sorted(rnd.sample(range(5, 60), 25))
+    asked = [(i, None if i == 7 else first + timedelta(rnd.randint(0, 70))) for i in range(80)]
+    calendar = spark.createDataFrame([(first + timedelta(n),) for n in opens + opens[:3]], "date date")
+    got = finance.advance_days(spark.createDataFrame(asked, "_n int, day date"), "day", lag, calendar, "to")
+    want = Counter()
+    for i, d in asked:
+        n = None if d is None else (d - first).days
+        later = [] if n is None else ([n] if n in opens else []) if lag == 0 else [x for x in opens if x > n][lag - 1 : lag]
+        want[i, d, first + timedelta(later[0]) if later else None] += 1
+    assert rows(got) == want
+    assert finance.advance_days(spark.createDataFrame(asked[:1], "_n int, day date"), "day", lag, calendar.limit(0), "to").first()["to"] is None

@@ -229,10 +229,20 @@ def merge_distributions(rows: DataFrame) -> DataFrame:
 def advance_days(df: DataFrame, date: str, lag: int, open_days: DataFrame, output: str) -> DataFrame:
     """The ``lag``-th open day strictly after date; 0 asks for date itself, which must be open. Null beyond the calendar.
 
-    open_days (date) is a calendar: numbered, and carried to each date by a backward scan of its few rows.
+    open_days (date) is a calendar. Its days are numbered, and each date between them gets the number of the last open
+    day; rows meet that table, of one row a date, by equality.
     """
-    days = open_days.select(F.col("date").cast("date").alias("_day")).distinct().agg(F.array_sort(F.collect_list("_day")).alias("_days"))
-    own = F.col(date).cast("date")
-    rows = df.join(F.broadcast(days))  # one row
-    at = F.array_position("_days", own) - 1 if lag == 0 else F.size(F.filter("_days", lambda d: d <= own)) + lag - 1
-    return rows.withColumn(output, F.when(at >= 0, F.get("_days", at.cast("int")))).drop("_days")
+    days = open_days.select(F.col("date").cast("date").alias("_day")).where("_day is not null").distinct()
+    by_day = Window.orderBy("_day")  # a calendar
+    numbered = days.select("_day", F.row_number().over(by_day).alias("_n"), F.lead("_day").over(by_day).alias("_next"))
+    until = F.coalesce(F.date_sub("_next", 1), F.col("_day"))
+    dates = numbered.select(F.explode(F.sequence("_day", until)).alias("_date"), "_n")
+    ends = days.agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))  # one row
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(date).cast("date").alias("_own")).join(F.broadcast(ends))
+    own, early = F.col("_own"), F.col("_own") < F.col("_first")
+    at = F.when(early, F.col("_first")).when(own > F.col("_last"), F.col("_last")).otherwise(own)
+    rows = rows.select("_row", "_own", early.cast("int").alias("_before"), at.alias("_date")).join(dates, "_date", "left")
+    target = numbered.select(F.col("_n").alias("_to"), F.col("_day").alias("_found"))
+    out = rows.withColumn("_to", F.col("_n") - F.col("_before") + lag).join(target, "_to", "left")
+    found = F.when(F.col("_found") == own, F.col("_found")) if lag == 0 else F.col("_found")
+    return out.select(*[F.col(f"_row.`{c}`") for c in df.columns], found.alias(output))

@@ -346,3 +346,19 @@ def write_curated(bars: DataFrame, root: str, *, dataset: str, revision: str, re
 
 def catalog_entry(df: DataFrame, name: str, *, date: str = "date", symbol: str = "symbol") -> DataFrame:
     return df.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"), F.count_distinct(symbol).alias("symbols"), F.min(date).alias("first"), F.max(date).alias("last"))
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(id, rows, columns, partition_by, manifest) of each snapshot under root, by its manifest."""
+    fs, at = file_system(spark, root)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    facts = [manifest_of(spark, root, n) for n in names if n.startswith("sha256-")]  # one small file a snapshot
+    rows = [(m["id"], m["rows"], [f["name"] for f in m["schema"]["fields"]], m["partition_by"], json.dumps(m, sort_keys=True)) for m in facts]
+    return spark.createDataFrame(rows, "id string, rows long, columns array<string>, partition_by array<string>, manifest string")
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """(column, type, rows, nulls, distinct): what a snapshot holds, in one pass; distinct is approximate."""
+    fields = [f for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    per = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("rows"), F.count_if(F.col(f"`{f.name}`").isNull()).alias("nulls"), F.approx_count_distinct(F.xxhash64(f"`{f.name}`")).alias("distinct")) for f in fields]
+    return df.agg(F.array(*per).alias("_s")).select(F.inline("_s"))

@@ -25,8 +25,8 @@ _OUT = "stream string, first_id long, last_id long, outcome string, state string
 class FeedSync:
     """One feed of ranged updates [first_id, last_id] with an optional id of the update before, and snapshots (first_id null)."""
 
-    def __init__(self, state: str = "BUFFERING", last: int = -1, bridged: bool = False, chained: bool = False, held: list | None = None):
-        self.state, self.last, self.bridged, self.chained, self.held = state, last, bridged, chained, held or []
+    def __init__(self, state: str = "BUFFERING", last: int = -1, bridged: bool = False, chained: bool = False, held: list | None = None, overlap: bool = False):
+        self.state, self.last, self.bridged, self.chained, self.held, self.overlap = state, last, bridged, chained, held or [], overlap
 
     def release(self) -> Iterator[tuple[int, int, str]]:
         """(first, last, outcome) of the frames that waited for the snapshot, in order; those that it holds already have none."""
@@ -52,8 +52,11 @@ class FeedSync:
             return "reset"
         if last <= self.last:
             return "late" if not self.bridged else "duplicate"
-        if not self.bridged:  # the first update must hold the snapshot's id, or the next one
-            if first <= self.last + 1 <= last or first <= self.last <= last:
+        if last < first:
+            self.state, self.bridged = "RESYNC", False
+            return "gap"
+        if not self.bridged:  # the first update must hold the snapshot's id, or, unless overlap is asked for, the next one
+            if first <= self.last <= last or (not self.overlap and first <= self.last + 1 <= last):
                 self.state, self.last, self.bridged = "LIVE", last, True
                 return "bridge"
         elif (previous == self.last) if self.chained and previous is not None else (first <= self.last + 1 <= last):
@@ -63,12 +66,12 @@ class FeedSync:
         return "gap"
 
 
-def _sync(chained: bool):
+def _sync(chained: bool, overlap: bool):
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        feed = FeedSync(chained=chained)
+        feed = FeedSync(chained=chained, overlap=overlap)
         if state.exists:
             *at, waiting = state.get
-            feed = FeedSync(*at, chained, json.loads(waiting))
+            feed = FeedSync(*at, chained, json.loads(waiting), overlap)
         held = pd.concat(list(frames)).sort_values("ordinal", kind="stable")  # one micro-batch of one feed
         out = []
         for f in held.itertuples(index=False):
@@ -86,13 +89,14 @@ def _sync(chained: bool):
     return step
 
 
-def synchronised(frames: DataFrame, *, chained: bool = False) -> DataFrame:
+def synchronised(frames: DataFrame, *, chained: bool = False, overlap: bool = False) -> DataFrame:
     """(stream, first_id, last_id, outcome, state) of each frame of a streaming frame (stream, ordinal, first_id, last_id, previous_id).
 
+    chained: updates follow by previous_id. overlap: the first one after a snapshot must hold the snapshot's own id.
     Frames that come before the snapshot are buffered in the state and have a second row once it lets them in; a buffered
     frame without one is in the snapshot, or still waits.
     """
-    return frames.groupBy("stream").applyInPandasWithState(_sync(chained), _OUT, "state string, last long, bridged boolean, held string", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("stream").applyInPandasWithState(_sync(chained, overlap), _OUT, "state string, last long, bridged boolean, held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def streaming_bars(trades: DataFrame, *, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
