@@ -305,3 +305,12 @@ def test_days_of_a_calendar(spark, lag):
         want[i, d, first + timedelta(later[0]) if later else None] += 1
     assert rows(got) == want
     assert finance.advance_days(spark.createDataFrame(asked[:1], "_n int, day date"), "day", lag, calendar.limit(0), "to").first()["to"] is None
+
+
+def test_long_paths_and_cycles(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n20", "n12"), ("x", "y"), (None, "n3")]
+    edges = spark.createDataFrame(chain, "source string, target string")
+    start = spark.createDataFrame([("n0",), ("n0",)], "node string")
+    assert rows(graph.reachable(edges, start)) == Counter((f"n{i}",) for i in range(1, 21))
+    with pytest.raises(ValidationError):
+        graph.reachable(edges, start, most=5)

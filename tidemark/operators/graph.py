@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from tidemark.operators.checks import ValidationError
 from tidemark.sources.shared import written
 
+COMPACT = 8
+
 
 def reachable(edges: DataFrame, start: DataFrame, *, most: int = 1000) -> DataFrame:
     """(node) reached from start (node) along edges (source, target), start itself only if a path leads back to it.
 
     Each step joins only nodes that the step before was the first to reach, so cycles end; more than ``most`` steps raise.
+    Every COMPACT steps what was reached is written as one table, so that long paths don't read ever more small ones.
     """
     seen = front = written(start.select("node").distinct(), "front")
     reached = None
-    for _ in range(most):
+    for step in range(1, most + 1):
         following = edges.join(front.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
         fresh = written(following if reached is None else following.join(reached, "node", "left_anti"), "front")
         if fresh.isEmpty():
             return reached if reached is not None else seen.limit(0)
         reached = fresh if reached is None else reached.unionByName(fresh)
+        if step % COMPACT == 0:
+            reached = written(reached, "reached")
         front = fresh
     raise ValidationError("path too long")
 

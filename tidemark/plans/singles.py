@@ -188,11 +188,23 @@ def indexed_breaks(spark: SparkSession, d: str) -> DataFrame:
     return _indexed(spark, d)[1].select("instrument", "seq", "before")
 
 
+def first_words_contiguity(spark: SparkSession, d: str) -> DataFrame:
+    """Versions that do not end where their symbol's next one begins, of the first word on each: ends were published later."""
+    rows = table(spark, d, "instrument_catalog").where("available_at is not null").select("symbol", "effective_from", "effective_to", (-F.unix_micros("available_at")).alias("_first"), (-F.col("catalog_row_id")).alias("_id"))
+    first = asof.latest(rows, ["symbol", "effective_from"], ["_first", "_id"])
+    return quality.contiguous_versions(first, ["symbol"]).select("symbol", F.unix_micros("effective_from").alias("from_us"), F.unix_micros("next_start").alias("next_us"))
+
+
+def rounded_rest(spark: SparkSession, d: str) -> DataFrame:
+    rate = F.col("rate_text")
+    return table(spark, d, "fx_rates").select("event_id", "observed_at", "captured_at", *[values.fixed_from_text(rate, 2, mode)["units"].alias(f"mode_{mode}") for mode in ("half_down", "05up")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         canonical_bars, volume_units, lagged_disclosures, relative_strength, merged_distributions, catalog_entry, share_entitlements, normal_symbols, trading_permissions, data_coverage, exchange_trades, exchange_deltas,
-        membership_days, known_facts, universe_members, forecast_scores, nominal_intervals, zone_instants, distribution_terms, distribution_violations, traded_rows, indexed_days, indexed_breaks,
+        membership_days, known_facts, universe_members, forecast_scores, nominal_intervals, zone_instants, distribution_terms, distribution_violations, traded_rows, indexed_days, indexed_breaks, first_words_contiguity, rounded_rest,
     )
 }
 
@@ -203,6 +215,13 @@ r as (select *, cash < 0 as amounts, cash <= 0 and ratio = 1 as no_terms, cash >
 _INDEXED = f"with t as (select instrument_id as instrument, delivery_id as seq, event_time as traded, {_e8('price')} * 3 as v, {_e8('quantity')} as q from market_trades where instrument_id is not null)"
 
 SQL = {
+    "first_words_contiguity": """
+with l as (select symbol, effective_from, arg_min(struct_pack(t := effective_to), (available_at, catalog_row_id)).t as t from instrument_catalog where available_at is not null group by 1, 2),
+n as (select *, lead(effective_from) over (partition by symbol order by effective_from) as f from l)
+select symbol, epoch_us(effective_from) as from_us, epoch_us(f) as next_us from n where f is not null and t is distinct from f""",
+    "rounded_rest": """
+with r as (select *, cast(rate_text as decimal(28,12)) * 100 as x from fx_rates)
+select event_id, observed_at, captured_at, cast(ceil(x - 0.5) as bigint) as mode_half_down, cast(case when x > floor(x) and cast(floor(x) as bigint) % 5 = 0 then floor(x) + 1 else floor(x) end as bigint) as mode_05up from r""",
     "canonical_bars": "select strftime(l_shipdate, '%Y-%m-%d') as date, 'X' as symbol, l_extendedprice as close, l_quantity * 100.0 as volume, l_tax * 1000.0 as amount, 'p' as provider from lineitem",
     "volume_units": """
 with b as (select l_partkey as symbol, cast(l_shipdate as date) as date, sum(l_quantity) as v, sum(l_extendedprice) as a, min(l_extendedprice / l_quantity) as low, max(l_extendedprice / l_quantity) as high from lineitem group by 1, 2),
