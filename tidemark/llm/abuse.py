@@ -66,8 +66,9 @@ _CUT = re.compile(r"(?<=[.!?;])[\s\"'”’»)]+|(?<=[.!?。！？；])(?=[\u4e0
 _END, _LINES = re.compile(r"([.!?;])[\s\"')]+"), re.compile(r"[\r\n\v\f]+")
 _CODE = re.compile(r"(?<![a-z0-9])(?:[a-z]{2}\d{4,}|ev-\d+)(?![a-z0-9])")
 _CHAT = re.compile(r"^\[\d\d:\d\d\] *\w+: *|^[>#\-*\s]+")
+_CHAT_STARTS = frozenset("[>#-*")
 _INSTANT = re.compile(r"\b\d{4}-\d\d-\d\d[t ][\d:.]+z?")
-_NUMBER = re.compile(r"(?<![a-z\d])\d[\d.,:/\-]*+(?![a-z])")
+_NUMBER = re.compile(r"\d(?<![a-z\d]\d)[\d.,:/\-]*+(?![a-z])")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[a-z0-9@$*][ .\-_·]){3,}[a-z0-9@$*]+(?![^\W\d_])|(?<![^\W\d_])(?:[a-z*][.\-_·]){2,}[a-z*]+(?![^\W\d_])")
 _CJK_GAP = re.compile(r"(?<=[\u4e00-\u9fff])[\s*._·\-]+(?=[\u4e00-\u9fff])")
 _RUN = re.compile(r"([a-z])\1{2,}")
@@ -77,6 +78,7 @@ _UNIT = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+(?:\*+[^\W_{_HAN}]+)*")
 #: Words in which something stands for a letter.
 _LEET_WORD = re.compile(r"(?<![a-z0-9@$])(?=[a-z]*[0-9@$!|])[a-z0-9@$](?:[a-z0-9@$]|[!|](?=[a-z0-9]))*")
 _DIGIT = re.compile(r"\d")
+_MAY_BE_CODE = re.compile(r"[a-z]\d{4}|ev-\d")
 _STANDS_IN = re.compile(r"[0-9@$!|]")
 _SEPARATED = re.compile(r"[a-z0-9@$*][ .\-_·][a-z0-9@$*][ .\-_·]")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -125,10 +127,15 @@ def _sentences(text: str | None) -> tuple[list[str], bool]:
 
 def _plain(window: str, han: bool) -> list[str]:
     """Windows of one sentence or line. han: the text has spaced Chinese characters."""
-    window = _CHAT.sub("", window.strip())
+    window = window.strip()
+    if window[:1] in _CHAT_STARTS:
+        window = _CHAT.sub("", window)
     digits = _DIGIT.search(window) is not None
     if digits:
-        window = _CODE.sub("xx", _INSTANT.sub("0", window))
+        if "-" in window:
+            window = _INSTANT.sub("0", window)
+        if _MAY_BE_CODE.search(window):
+            window = _CODE.sub("xx", window)
     if han:
         window = _CJK_GAP.sub("", window)
     if _SEPARATED.search(window):
@@ -139,7 +146,10 @@ def _plain(window: str, han: bool) -> list[str]:
         window = _LEET_WORD.sub(_unleet, window)
     window = _RUN.sub(r"\1", window)
     words = _UNIT.findall(window)
-    return [_CJK_GAP.sub("", " ".join(words[i : i + SPAN])) for i in range(0, max(1, len(words) - SPAN // 2), SPAN // 2)] if words else []
+    if not words:
+        return []
+    parts = [" ".join(words[i : i + SPAN]) for i in range(0, max(1, len(words) - SPAN // 2), SPAN // 2)]
+    return parts if window.isascii() else [_CJK_GAP.sub("", p) for p in parts]
 
 
 def _pieces(window: str) -> list[str]:
