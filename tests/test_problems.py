@@ -143,6 +143,7 @@ def test_lateness_epochs_and_order_of_calls_change_no_result(spark, lateness):
     assert rows(log.removed()) == want
     log.append(df.limit(0), claims)
     assert rows(log.removed()) == want
+    assert DeliveryLog(spark, log.path, lateness="3 hours").lateness == lateness  # the one it began with
 
 
 # 3

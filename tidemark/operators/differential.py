@@ -8,11 +8,13 @@ needs its own rows and the signed rows of the periods it touches, never the rows
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import fixed_e8, packed, packed_high, packed_low
-from tidemark.sources.shared import file_system, shared_folder, written
+from tidemark.sources.shared import file_system, place, shared_folder, written
 
 HALF_HOUR = 1800 * 10**6
 PERIOD = ["instrument_id", "session_id", "bar_start_us"]
@@ -78,17 +80,17 @@ class PeriodLog:
         signed = F.array_compact(F.array(F.when(F.col("o_trades").isNotNull(), row(-1, {c: F.col(f"o_{c}") for c in _SUMS})), row(1, plus)))
         staged = f"{self.path}/.tick-{len(self._ticks()):06d}"
         at.select(*PERIOD, "version", F.inline(signed)).write.mode("overwrite").option("compression", "zstd").parquet(staged)
-        self.fs.rename(file_system(self.spark, staged)[1], file_system(self.spark, staged.replace("/.tick-", "/tick-"))[1])  # lands as a whole
+        place(self.spark, staged, staged.replace("/.tick-", "/tick-"))  # lands as a whole
 
     def compact(self) -> None:
         """Put one row of sign +1 for each period in place of its signed rows so far: the state, without its history."""
         ticks = self._ticks()
-        staged = f"{self.path}/.compacted"
+        staged, number = f"{self.path}/.compacted", uuid.uuid4().hex[:8]
         present_state(self.deltas()).select(*PERIOD, "version", F.lit(1).alias("sign"), *_SUMS).write.mode("overwrite").parquet(staged)
         # the new folder comes after the old ones went: a reader between the two sees no period twice
         for t in ticks:
-            self.fs.rename(file_system(self.spark, f"{self.path}/{t}")[1], file_system(self.spark, f"{self.path}/.old-{t}")[1])
-        self.fs.rename(file_system(self.spark, staged)[1], file_system(self.spark, f"{self.path}/tick-000000")[1])
+            place(self.spark, f"{self.path}/{t}", f"{self.path}/.old-{number}-{t}")
+        place(self.spark, staged, f"{self.path}/tick-000000")
 
 
 def period_deltas(counted: DataFrame, path: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import fixed_e8, packed, packed_high, packed_low
 from tidemark.functions.text import plain
-from tidemark.sources.shared import file_system, shared_folder, written
+from tidemark.sources.shared import file_system, place, shared_folder, written
 
 BOOK = ["instrument_id", "source", "session_id"]
 LEVEL = [*BOOK, "side", "price_e8"]
@@ -46,7 +46,7 @@ class EqualityDeleteTable:
         name = uuid.uuid4().hex[:12]
         for kind, rows in kinds.items():
             rows.write.parquet(f"{self.path}/.{name}/{kind}")
-        self.fs.rename(file_system(self.spark, f"{self.path}/.{name}")[1], file_system(self.spark, f"{self.path}/commit-{name}")[1])
+        place(self.spark, f"{self.path}/.{name}", f"{self.path}/commit-{name}")
 
     def _read(self, kind: str) -> DataFrame:
         folders = [f"{c}/{kind}" for c in self._commits() if self.fs.exists(file_system(self.spark, f"{c}/{kind}")[1])]

@@ -83,5 +83,11 @@ def move_into_place(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
+def place(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to where nothing is yet, or raise."""
+    if not move_into_place(spark, source, target):
+        raise FileExistsError(target)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.fixed import packed, packed_low
 from tidemark.functions.text import hex_number, trimmed
-from tidemark.sources.shared import file_system, shared_folder, written
+from tidemark.sources.shared import file_system, place, shared_folder, written
 
 #: In place of a null received_at: after any TIMESTAMP.
 _LAST = 1 << 60
@@ -101,13 +101,19 @@ def _rank() -> Column:
 class DeliveryLog:
     """Deliveries under one path: live/ (keyed rows by epoch), seen/ (output of the state store) and checkpoint/ (the store).
 
-    A path that is there already is continued: its store knows what earlier calls delivered, whoever made them.
+    A path that is there already is continued, with the lateness it began with: its store knows what earlier calls
+    delivered, whoever made them. One call at a time may append.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, lateness: str = "2 days", buckets: int | None = None):
         self.spark, self.path, self.lateness, self.buckets = spark, path or shared_folder(spark, "delivery"), lateness, buckets
         self.fs, self.live = file_system(spark, f"{self.path}/live")
         self.fs.mkdirs(self.live)
+        begun = file_system(spark, f"{self.path}/begun")[1]
+        if self.fs.exists(begun):
+            self.lateness = next(s.getPath().getName() for s in self.fs.listStatus(begun)).removeprefix("lateness=").replace("_", " ")
+        else:
+            self.fs.mkdirs(file_system(spark, f"{self.path}/begun/lateness={lateness.replace(' ', '_')}")[1])
 
     def append(self, deliveries: DataFrame, claims: DataFrame, *, epochs: int = 4) -> None:
         """Take up deliveries, in micro-batches by time of arrival."""
@@ -123,7 +129,7 @@ class DeliveryLog:
             for epoch in sorted(clocks):
                 after = _NEVER if latest is None else latest - delay
                 self.fs.mkdirs(file_system(self.spark, f"{self.path}/live/n={number}")[1])
-                self.fs.rename(file_system(self.spark, f"{staged}/epoch={epoch}")[1], file_system(self.spark, f"{self.path}/live/n={number}/after={after}")[1])  # lands as a whole
+                place(self.spark, f"{staged}/epoch={epoch}", f"{self.path}/live/n={number}/after={after}")
                 self.query.processAllAvailable()
                 number += 1
                 if clocks[epoch] is not None:
